@@ -407,7 +407,9 @@ def nmi_ari(df: DataFrame, truth: str, predicted: str, drop_noise: bool = True)
     c = contingency(df, truth, predicted)
     rows = c.groupBy("t").agg(F.sum("n").alias("nt"))
     cols = c.groupBy("p").agg(F.sum("n").alias("np"))
-    n = c.agg(F.sum("n")).scalar()
+    total = c.agg(F.sum("n")).scalar()
+    rows, cols = rows.withColumn("_n", total), cols.withColumn("_n", total)
+    n = F.col("_n")
 
     def pairs2(x):
         return x.cast("double") * (x - 1) / 2
@@ -415,7 +417,7 @@ def nmi_ari(df: DataFrame, truth: str, predicted: str, drop_noise: bool = True)
     def entropy(x):
         return -F.sum((x / n) * F.log(x / n))
 
-    joint = c.join(rows, "t").join(cols, "p")
+    joint = c.join(rows, "t").join(cols.drop("_n"), "p")
     mi = joint.agg(F.struct(
         F.sum(F.col("n") / n * F.log(F.col("n") * n / (F.col("nt") * F.col("np")))).alias("mi"),
         F.sum(pairs2(F.col("n"))).alias("ij"))).scalar()

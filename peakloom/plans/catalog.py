@@ -295,7 +295,7 @@ def msp_lines(spark, sf, embedded: bool = False) -> DataFrame:
     head = F.array(F.concat(F.lit("NAME: order"), F.col("id")), F.concat(F.lit("RETENTIONINDEX: "), F.col("rt").cast("int").cast("string")),
                    F.concat(F.lit("Ion_mode: "), F.col("ion_mode")), F.concat(F.lit("Origin: "), F.col("adduct")),
                    F.concat(F.lit("Num Peaks: "), F.size("peaks").cast("string")))
-    body = F.transform("peaks", lambda x: F.concat(F.format_number(x["mz"], "0.000"), F.lit(" "), x["intensity"].cast("int").cast("string")))
+    body = F.transform("peaks", lambda x: F.concat(F.format_string("%.3f", x["mz"]), F.lit(" "), x["intensity"].cast("int").cast("string")))
     if embedded:
         lines = F.concat(head, body)
         # the next record's NAME is glued to this record's last peak
@@ -378,9 +378,8 @@ def unique_record_ids(spark, sf):
 
 def feature_table(spark, sf) -> MD.FeatureTable:
     li = V.table(spark, sf, "lineitem")
-    wide = li.groupBy("l_partkey").pivot("v", ["AF", "AO", "NF", "NO", "RF", "RO"]).sum("l_quantity") if False else (
-        li.withColumn("v", F.concat("l_returnflag", "l_linestatus")).groupBy("l_partkey")
-        .pivot("v", ["AF", "AO", "NF", "NO", "RF", "RO"]).sum("l_quantity"))
+    wide = (li.withColumn("v", F.concat("l_returnflag", "l_linestatus")).groupBy("l_partkey")
+            .pivot("v", ["AF", "AO", "NF", "NO", "RF", "RO"]).sum("l_quantity"))
     part = V.table(spark, sf, "part")
     x = part.join(wide, F.col("p_partkey") == F.col("l_partkey"), "left")
     meta = {
@@ -474,8 +473,8 @@ def distance_profile(spark, sf):
 
 @query
 def close_pairs(spark, sf):
-    """Unordered pairs with cosine distance below 0.35."""
-    x = S.pairs_within(grid(spark, sf), Params(distance_method="cosine"), 0.35, fragment_only=True)
+    """Unordered pairs with cosine distance below 0.22."""
+    x = S.pairs_within(grid(spark, sf), Params(distance_method="cosine"), 0.22, fragment_only=True)
     return lid(x).select("query_id", "library_id", "distance")
 
 
