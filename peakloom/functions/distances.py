@@ -193,7 +193,13 @@ def _grid_matrix(grid, P, Q, method, p):
     if method == "cosine":
         return _cosine((P * P).sum(1)[:, None], (Q * Q).sum(1)[None, :], P @ Q.T)
     if method == "hellinger":
-        return np.sqrt(np.maximum(1 - np.sqrt(P) @ np.sqrt(Q).T, 0.0))
+        A, B = np.sqrt(P), np.sqrt(Q)
+        sq = np.maximum(1 - A @ B.T, 0.0)
+        i, j = np.nonzero(sq < 1e-6)  # near-equal rows: the product cancels, the difference does not
+        for s in range(0, len(i), CHUNK):
+            r, c = i[s:s + CHUNK], j[s:s + CHUNK]
+            sq[r, c] = ((A[r] - B[c]) ** 2).sum(1) / 2
+        return np.sqrt(sq)
     if method in ("weighted_cosine", "composite"):
         w = grid ** p.mass_power
         A = np.where(P > 0, w * P ** p.intensity_power, 0.0)

@@ -161,7 +161,9 @@ class Scorer:
         return D.combine_blocks(score, a, b, self.p, conf)
 
     def distance(self, lt, rt, mask=None):
-        return self.components(lt, rt, mask)["distance"]
+        """Distances at 13 decimals: equal spectra tie exactly whichever kernel or block
+        shape scored them, so ties fall to library position everywhere."""
+        return np.round(self.components(lt, rt, mask)["distance"], 13)
 
 
 HIT_SCHEMA = "query_id string, q_pos long, library_id string, l_pos long, distance double"

@@ -83,9 +83,10 @@ def replicate_ranks(spectra: DataFrame, p, key: str = "inchikey", fragment_only:
     q2 = q.join(best, "q_pos")
 
     def closer(lt, rt):
+        # same-key spectra cannot be closer than the best of them
         d = scorer.distance(lt, rt)
         b = lt.column("best").to_numpy()
-        less = (d < b[:, None]) & other(lt, rt)
+        less = (d < b[:, None]) & other(lt, rt) & ~keys(lt, rt)
         return to_table("query_id string, q_pos long, n long", {
             "query_id": lt.column("query_id").combine_chunks(), "q_pos": lt.column("q_pos").to_numpy(),
             "n": less.sum(1)})

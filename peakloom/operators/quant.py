@@ -160,11 +160,11 @@ def prepare_quant_data(table, params, blank_factor: float = 3, nonzero_ratio: fl
 
 
 def build_df_spec(table, final: DataFrame) -> DataFrame:
-    """id, pos, known, RI, ei of the features that survived, first row per id."""
+    """id, pos, known, ri, ei of the features that survived, first row per id."""
     df = M.as_feature_table(table).data.withColumn(TAG, F.col(f"`{TAG}`").cast("string"))
     spec = df.withColumn("id", compound_id()).join(
         final.select(F.col("compound_id").alias("id")), "id", "left_semi")
     return first_per_id(spec, "id").select(
         "id", "pos", F.when(F.col(f"`{TAG}`") == "4", "F").otherwise("T").alias("known"),
-        F.col("`Average RI`").cast("double").alias("RI"), F.col("`Average RI`").cast("double").alias("ri"),
+        F.col("`Average RI`").cast("double").alias("ri"),
         F.col("`EI spectrum`").alias("ei"))

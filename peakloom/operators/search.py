@@ -148,11 +148,13 @@ def pair_components(t, scorer: Scorer) -> dict:
     b = {c: Batch.from_arrow(_column(t, f"b_{c}")) for c in scorer.channels()}
     rows = np.arange(n)
     if scorer.fragment_only:
-        return {"distance": D.pair_distances(a["frag"], b["frag"], rows, rows, scorer.method, p)}
+        return {"distance": np.round(D.pair_distances(a["frag"], b["frag"], rows, rows, scorer.method, p), 13)}
     conf = None
     if scorer.extra():
         conf = (_values(t, "q_mref_confidence"), _values(t, "l_mref_confidence"))
-    return D.combine_rows(a, b, scorer.method, p, conf)
+    out = D.combine_rows(a, b, scorer.method, p, conf)
+    out["distance"] = np.round(out["distance"], 13)
+    return out
 
 
 def distance_table(spectra: DataFrame, p, library: DataFrame | None = None, fragment_only: bool = False,

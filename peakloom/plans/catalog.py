@@ -308,10 +308,13 @@ def msp_lines(spark, sf, embedded: bool = False) -> DataFrame:
         o = x
     else:
         lines = F.concat(head, body, F.array(F.lit("")))
-    return o.withColumn("lines", lines).select(
+    # 4096 orders per file, 512 per split; rows of a split sit together in line order
+    text = o.withColumn("lines", lines).select(
         F.concat(F.lit("part"), F.floor(F.col("pos") / 4096).cast("string")).alias("file"),
-        F.floor(F.pmod(F.col("pos"), F.lit(4096)) / 512).cast("long").alias("block"), "pos", F.posexplode("lines").alias("i", "value")
-    ).select("file", "block", (F.col("pos") * 1000 + F.col("i")).alias("n"), "value")
+        (F.floor(F.pmod(F.col("pos"), F.lit(4096)) / 512) * 1000000).cast("long").alias("block"), "pos",
+        F.posexplode("lines").alias("i", "value"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return text.repartition(n, "file", "block").sortWithinPartitions("file", "block", "pos", "i")
 
 
 def _msp_view(lib):
@@ -324,19 +327,19 @@ def _msp_view(lib):
 @query
 def msp_parse(spark, sf):
     """MSP text of all orders parsed back to typed records (cast to few columns)."""
-    return _msp_view(MSP.parse_records(MSP.record_lines(MSP.repair_lines(msp_lines(spark, sf)))))
+    return _msp_view(MSP.parse_lines(msp_lines(spark, sf)))
 
 
 @query
 def msp_embedded_repair(spark, sf):
     """Same records from text with glued NAME fields and no separators."""
-    return _msp_view(MSP.parse_records(MSP.record_lines(MSP.repair_lines(msp_lines(spark, sf, embedded=True)))))
+    return _msp_view(MSP.parse_lines(msp_lines(spark, sf, embedded=True)))
 
 
 @query
 def msp_convert(spark, sf):
     """Library conversion: RI required, first record per ion mode and RI kept."""
-    lib = MSP.parse_records(MSP.record_lines(MSP.repair_lines(msp_lines(spark, sf))))
+    lib = MSP.parse_lines(msp_lines(spark, sf))
     lib = lib.withColumn("key", F.concat_ws("/", "ion_mode", F.col("ri").cast("int").cast("string"))).filter(F.col("name").isNotNull())
     lib = lib.withColumn("pos", F.regexp_extract("name", "([0-9]+)$", 1).cast("long"))
     out = MSP.convert_library(lib, "key", require_ri=True)
@@ -490,7 +493,7 @@ def split_neighbours(spark, sf):
 
 @query
 def typical_blend_neighbours(spark, sf):
-    p = TYP.with_(distance_method="cosine")
+    p = Params(use_typical_loss=True, loss_typical_ppm=1200.0, distance_method="cosine")
     x = nearest(built(spark, sf, p), built(spark, sf, p), Scorer(p), 3, exclude_self=True)
     return lid(x).select("query_id", "rank", "library_id", "distance")
 

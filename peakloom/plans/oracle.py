@@ -302,13 +302,13 @@ def all_sql() -> dict:
     sql["distance_profile"] = f"""WITH {D}, {COMBINED} SELECT q AS query_id, count(*) AS n, {r6('avg(d)', 'mean_distance')}, {r6('min(d)', 'low')}, {r6('max(d)', 'high')} FROM dd GROUP BY 1"""
     sql["close_pairs"] = f"WITH {GRID}, {pair_cosine('d', 'f')} SELECT q AS query_id, l AS library_id, {r6('d', 'distance')} FROM d WHERE q < l AND d < 0.22"
     split_cte = f"""{D}, {pair_cosine('df', 'f')}, {pair_cosine('da', 'anch')}, {pair_cosine('dp', 'pairw')},
-        wt AS (SELECT df.q, df.l, df.d AS d_frag, da.d AS d_anchor, dp.d AS d_pair, 0.6 * sqrt(least(greatest(x.conf, 0), 1) * least(greatest(y.conf, 0), 1)) AS wa
-               FROM df JOIN da ON df.q = da.q AND df.l = da.l JOIN dp ON df.q = dp.q AND df.l = dp.l JOIN mref x ON df.q = x.vec_id JOIN mref y ON df.l = y.vec_id),
+        wt AS (SELECT df.q, df.l, df.d AS d_frag, coalesce(da.d, 1) AS d_anchor, coalesce(dp.d, 1) AS d_pair, 0.6 * sqrt(least(greatest(x.conf, 0), 1) * least(greatest(y.conf, 0), 1)) AS wa
+               FROM df LEFT JOIN da ON df.q = da.q AND df.l = da.l LEFT JOIN dp ON df.q = dp.q AND df.l = dp.l JOIN mref x ON df.q = x.vec_id JOIN mref y ON df.l = y.vec_id),
         sp AS (SELECT q, l, d_frag, d_anchor, d_pair, wa / (wa + 0.4) AS wa, 0.4 / (wa + 0.4) AS wp FROM wt),
         sd AS (SELECT *, sqrt(wa * d_anchor * d_anchor + wp * d_pair * d_pair) AS d_loss FROM sp),
         d AS (SELECT *, sqrt(0.7 * d_frag * d_frag + 0.3 * d_loss * d_loss) AS d FROM sd)"""
     sql["split_neighbours"] = f"WITH {split_cte} {top_hits(3)}"
-    typ_cte = f"""{DT}, {typical()}, {COMBINED}, tt AS (SELECT vec_id, exact AS mz, p FROM typ), tn AS (SELECT vec_id, sqrt(sum(p * p)) AS s FROM tt GROUP BY 1),
+    typ_cte = f"""{D}, {typical()}, {COMBINED}, tt AS (SELECT vec_id, exact AS mz, p FROM typ), tn AS (SELECT vec_id, sqrt(sum(p * p)) AS s FROM tt GROUP BY 1),
         td AS (SELECT a.vec_id AS q, b.vec_id AS l, sum(a.p * b.p) AS dot FROM tt a JOIN tt b ON a.mz = b.mz GROUP BY 1, 2),
         tb AS (SELECT dd.q, dd.l, d_frag, d_loss, CASE WHEN x.s IS NULL OR y.s IS NULL THEN NULL ELSE 1 - coalesce(dot, 0) / (x.s * y.s) END AS t
                FROM dd LEFT JOIN td ON dd.q = td.q AND dd.l = td.l LEFT JOIN tn x ON dd.q = x.vec_id LEFT JOIN tn y ON dd.l = y.vec_id),

@@ -1,8 +1,7 @@
 """MSP spectral-library text: a splittable reader and a writer.
 
-Lines are read by Spark's text source, so one huge file is many splits.  Record
-boundaries need only the latest marker line before each line; it is found inside each
-split with a window and carried across splits through one summary row per split.
+Lines are read by Spark's text source, so one huge file is many splits.  Each split
+parses the records it holds whole; the pieces cut by split edges are stitched together.
 """
 
 from __future__ import annotations
@@ -135,92 +134,172 @@ def parse_record(lines) -> dict:
 
 
 def text_lines(spark: SparkSession, path) -> DataFrame:
-    """value, file, block (split start), n (order inside the split)."""
+    """value, file, block (split start) in file order inside every split."""
     return spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("n"))
+        F.col("_metadata.file_block_start").alias("block"))
+
+
+# --- fixed patterns: record markers ---
+NUM_PEAKS_LINE = re.compile(r"\s*Num[\s_]*Peaks\s*:", re.I)
+NAME_LINE = re.compile(r"\s*(?:NAME|TITLE)\s*:", re.I)
+EMBEDDED_NAME = re.compile(r"(?<=[0-9])(?:NAME|TITLE):", re.I)
+
+
+class Scanner:
+    """Cuts a line stream into records: a blank line, or a name line while peaks are
+    pending, ends one.  A name glued to the end of a declared peak line is split off."""
+
+    def __init__(self, named: bool = False):
+        self.lines, self.named, self.peaks, self.declared, self.repairs = [], named, False, False, []
+
+    def flush(self):
+        done, self.lines = self.lines, []
+        self.named = self.peaks = False
+        return [done] if done else []
+
+    def feed(self, line: str) -> list:
+        if not line.strip():
+            self.declared = False
+            return self.flush()
+        if NUM_PEAKS_LINE.match(line):
+            self.declared = True
+        elif self.declared and (m := EMBEDDED_NAME.search(line)):
+            self.declared = False
+            head, tail = line[:m.start()], line[m.start():]
+            self.repairs.append((tail.split(":", 1)[0], head, tail))
+            return self._add(head) + self._add(tail)
+        elif NAME_LINE.match(line):
+            self.declared = False
+        return self._add(line)
+
+    def _add(self, line):
+        key = line.partition(":")[0].strip().lower() if ":" in line else None
+        col = FIELD_OF.get(key)
+        done = self.flush() if col == "name" and self.peaks else []
+        self.lines.append(line)
+        if col == "name" and not self.peaks:
+            self.named = True
+        elif col == "num_peaks":
+            self.peaks = True
+        elif self.named and not self.peaks and looks_like_peaks(line):
+            self.peaks = True
+        return done
+
+
+def split_pieces(rows):
+    """Pieces of consecutive splits: yields (file, block, kind, index, lines).
+
+    ``rec`` is a record known to be whole.  A split that starts inside a file cannot
+    know what came before: lines up to its first certain boundary are its ``head``, and
+    its unfinished last record is its ``tail``; the two meet again in ``stitch``.
+    """
+    state = None
+    for value, file, block in rows:
+        if state is None or state[0] != (file, block):
+            if state is not None:
+                yield from _close(state)
+            # [key, head lines, scanner or None, index of next record, first is unsure]
+            state = [(file, block), [], Scanner() if block == 0 else None, 1, False]
+        if state[2] is None:
+            if not value.strip():
+                state[1].append(value)
+                state[2] = Scanner()
+            elif NAME_LINE.match(value):
+                state[2], state[4] = Scanner(), True
+                state[2].feed(value)
+            else:
+                state[1].append(value)
+            continue
+        for done in state[2].feed(value):
+            if state[4]:
+                state[1] += done
+                state[4] = False
+            else:
+                yield file, block, "rec", state[3], done
+                state[3] += 1
+    if state is not None:
+        yield from _close(state)
 
 
-def _last_marker(lines: DataFrame, code, name: str, order) -> DataFrame:
-    """Add ``name``: the latest non-null ``code`` strictly before each line of its file."""
-    lines = lines.withColumn("_code", code)
-    before = Window.partitionBy("file", "block").orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, -1)
-    per_block = lines.groupBy("file", "block").agg(
-        F.max_by("_code", F.when(F.col("_code").isNotNull(), F.struct(*order))).alias("_tail"))
-    w = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carry = per_block.select("file", "block", F.last("_tail", ignorenulls=True).over(w).alias("_carry"))
-    inner = lines.withColumn(name, F.last("_code", ignorenulls=True).over(before))
-    return (inner.join(carry, ["file", "block"])
-            .withColumn(name, F.coalesce(name, "_carry")).drop("_code", "_carry"))
+def _close(state):
+    (file, block), head, scanner, index, unsure = state
+    rest = scanner.lines if scanner is not None else []
+    if scanner is not None and unsure:
+        head, rest, scanner = head + rest, [], None
+    if block != 0:
+        yield file, block, "head", 0, head
+    if scanner is not None:
+        yield file, block, "tail", index, rest
 
 
-def repair_lines(lines: DataFrame) -> DataFrame:
-    """Split ``429.08 1533679NAME: next`` inside a declared peak block into two lines.
+def parse_lines(lines: DataFrame) -> DataFrame:
+    """Records of (value, file, block) lines; ``pos`` follows file and record order.
 
-    Adds ``sub`` (0/1) and ``repaired``; ``value`` becomes the single line.
+    Whole records are parsed where their split is read, without a shuffle.  Only the
+    two broken records per split edge are gathered, in a second pass over the text.
     """
-    v = F.col("value")
-    blank = F.trim(F.regexp_replace(v, r"\s", " ")) == ""
-    embedded = v.rlike(r"(?i)(?<=[0-9])(?:NAME|TITLE):")
-    code = (F.when(blank, "B").when(v.rlike(r"(?i)^\s*Num[\s_]*Peaks\s*:"), "P")
-            .when(embedded, "R").when(v.rlike(r"(?i)^\s*(NAME|TITLE)\s*:"), "N"))
-    marked = _last_marker(lines, code, "_prev", ["n"])
-    fix = embedded & (F.col("_prev") == "P") & ~blank
-    cut = F.regexp_instr(v, F.lit(r"(?i)(?<=[0-9])(?:NAME|TITLE):"))
-    parts = F.when(fix, F.array(F.substring(v, F.lit(1), cut - 1), F.substring(v, cut, F.length(v)))
-                   ).otherwise(F.array(v))
-    return marked.withColumn("repaired", F.coalesce(fix, F.lit(False))).select(
-        "file", "block", "n", "repaired", F.posexplode(parts).alias("sub", "value"))
-
-
-def record_lines(lines: DataFrame) -> DataFrame:
-    """Attach the record number: file, rec, block, n, sub, value (blank lines dropped)."""
-    v = F.trim(F.regexp_replace("value", r"\s", " "))
-    key = F.lower(F.trim(F.when(v.contains(":"), F.substring_index(v, ":", 1))))
-    numeric = v.rlike(r"[0-9]") & ~v.rlike("[A-Za-z]") & v.rlike(rf"{NUMBER}[\s:,;]+\(?{NUMBER}")
-    hard = (F.when(v == "", "B").when(key.isin("name", "title"), "N")
-            .when(key.isin(*C.MSP_FIELDS["num_peaks"]), "P"))
-    order = ["n", "sub"]
-    marked = _last_marker(lines, hard, "_hard", order)
-    marked = _last_marker(marked, F.coalesce(hard, F.when(numeric, "L")), "_any", order)
-    pending = (F.col("_hard") == "P") | ((F.col("_hard") == "N") & (F.col("_any") == "L"))
-    edge = ((v == "") | (key.isin("name", "title") & pending))
-    marked = marked.withColumn("_edge", F.coalesce(edge, F.lit(False)).cast("long"))
-    run = Window.partitionBy("file", "block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    w = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    base = (marked.groupBy("file", "block").agg(F.sum("_edge").alias("_n"))
-            .select("file", "block", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_base")))
-    return (marked.withColumn("_run", F.sum("_edge").over(run)).join(base, ["file", "block"])
-            .withColumn("rec", F.col("_base") + F.col("_run"))
-            .filter(v != "").select("file", "rec", "block", "n", "sub", "value"))
-
-
-def parse_records(numbered: DataFrame) -> DataFrame:
-    """Group lines into records and parse them; ``pos`` follows file and record order."""
-    files = numbered.select("file").distinct().withColumn(
-        "_f", F.row_number().over(Window.orderBy("file")) - 1)  # one row per file
-    recs = (numbered.groupBy("file", "rec")
-            .agg(F.array_sort(F.collect_list(F.struct("block", "n", "sub", "value"))).alias("x"))
-            .join(files, "file")
-            .select((F.shiftleft(F.col("_f").cast("long"), 40) + F.col("rec")).alias("pos"),
-                    F.col("x.value").alias("lines")))
     names = [f.name for f in RECORD_SCHEMA.fields]
+    schema = T.StructType([T.StructField("file", T.StringType())] + RECORD_SCHEMA.fields)
 
-    def run(frames):
+    def rows_of(frames):
         for pdf in frames:
-            rows = [{**parse_record(x), "pos": pos} for pos, x in zip(pdf["pos"], pdf["lines"])]
-            out = pd.DataFrame(rows, columns=names)
-            out["num_peaks"] = out["num_peaks"].astype("Int32")
-            yield out
-
-    return recs.mapInPandas(run, RECORD_SCHEMA)
+            yield from zip(pdf["value"], pdf["file"], pdf["block"])
+
+    def typed(records):
+        out = pd.DataFrame(records, columns=["file"] + names, dtype=object)
+        for c, kind in (("pos", "int64"), ("num_peaks", "Int32"), ("mw", float), ("ri", float), ("rt", float)):
+            out[c] = out[c].astype(kind)
+        return out
+
+    def whole(frames):
+        buffer = []
+        for file, block, kind, index, text in split_pieces(rows_of(frames)):
+            if kind == "rec":
+                buffer.append({**parse_record(text), "pos": block + index, "file": file})
+                if len(buffer) >= 2000:
+                    yield typed(buffer)
+                    buffer = []
+        yield typed(buffer)
+
+    def edges(frames):
+        for file, block, kind, index, text in split_pieces(rows_of(frames)):
+            if kind != "rec":
+                yield pd.DataFrame([(file, int(block), kind, index, text)], columns=["file", "block", "kind", "idx", "lines"])
+
+    src = lines.select("value", "file", "block")
+    cut = src.mapInPandas(edges, "file string, block long, kind string, idx long, lines array<string>")
+    # a tail opens a group that runs to the next tail: two rows per split are ordered here
+    w = Window.partitionBy("file").orderBy("block", "kind")
+    group = F.sum((F.col("kind") == "tail").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    cut = (cut.withColumn("grp", group).groupBy("file", "grp")
+           .agg(F.array_sort(F.collect_list(F.struct("block", "kind", "idx", "lines"))).alias("parts")))
+
+    def stitch(frames):
+        for pdf in frames:
+            out = []
+            for file, parts in zip(pdf["file"], pdf["parts"]):
+                scanner, start = Scanner(), None
+                for part in parts:
+                    for line in part["lines"]:
+                        for done in scanner.feed(line):
+                            out.append({**parse_record(done), "pos": start, "file": file})
+                            start = None
+                        if start is None and line.strip():
+                            start = part["block"] + part["idx"]
+                out += [{**parse_record(done), "pos": start, "file": file} for done in scanner.flush()]
+            yield typed(out)
+
+    both = src.mapInPandas(whole, schema).unionByName(cut.mapInPandas(stitch, schema))
+    files = lines.select("file").distinct().withColumn(
+        "_f", F.row_number().over(Window.orderBy("file")) - 1)  # one row per file
+    return both.join(files, "file").withColumn(
+        "pos", F.shiftleft(F.col("_f").cast("long"), 44) + F.col("pos")).select(*names)
 
 
 def read_msp(spark: SparkSession, path, drop_empty_columns: bool = False) -> DataFrame:
     """Typed library rows (one per record) with ``pos`` and ``record_issues``."""
-    out = parse_records(record_lines(repair_lines(text_lines(spark, path))))
+    out = parse_lines(text_lines(spark, path))
     return drop_all_null(out) if drop_empty_columns else out
 
 
@@ -231,13 +310,22 @@ def drop_all_null(df: DataFrame) -> DataFrame:
     return df.drop(*[c for c in names if row[c] == 0])
 
 
-def embedded_repairs(spark: SparkSession, path) -> DataFrame:
-    """Diagnostics of repaired lines: file, marker, peak_prefix, record_start."""
-    fixed = repair_lines(text_lines(spark, path)).filter("repaired")
-    return fixed.groupBy("file", "block", "n").agg(
-        F.max(F.when(F.col("sub") == 0, F.col("value"))).alias("peak_prefix"),
-        F.max(F.when(F.col("sub") == 1, F.col("value"))).alias("record_start")).select(
-        "file", F.substring_index("record_start", ":", 1).alias("marker"), "peak_prefix", "record_start")
+def embedded_repairs(lines: DataFrame) -> DataFrame:
+    """Diagnostics of glued record starts: file, block, marker, peak_prefix, record_start."""
+    def run(frames):
+        key, scanner = None, None
+        for pdf in frames:
+            out = []
+            for value, file, block in zip(pdf["value"], pdf["file"], pdf["block"]):
+                if key != (file, block):
+                    key, scanner = (file, block), Scanner()
+                scanner.feed(value)
+                out += [(file, int(block), *r) for r in scanner.repairs]
+                scanner.repairs = []
+            yield pd.DataFrame(out, columns=["file", "block", "marker", "peak_prefix", "record_start"], dtype=object)
+
+    return lines.select("value", "file", "block").mapInPandas(
+        run, "file string, block long, marker string, peak_prefix string, record_start string")
 
 
 def record_issues(library: DataFrame) -> DataFrame:
@@ -264,7 +352,7 @@ def convert_library(lib: DataFrame, id_column: str = "name", require_ri: bool =
     meta = [c for c in ("name", "inchikey", "formula", "smiles", "comment") if c in lib.columns]
     first = first_per_id(lib.withColumn("id", F.col(id_column)), "id")
     return first.filter(F.length("spectrum") > 0).select(
-        "id", "pos", F.lit("T").alias("known"), F.col("ri").alias("RI"), "ri",
+        "id", "pos", F.lit("T").alias("known"), "ri",
         F.col("spectrum").alias("ei"), *meta)
 
 
@@ -278,7 +366,7 @@ def build_spectra_from_msp(spark: SparkSession, path, p, require_ri: bool = Fals
 def msp_text(spectra: DataFrame, peaks: str = "frag") -> DataFrame:
     """One text value per spectrum; intensities scaled to 999, empty spectra skipped."""
     def field(label, col, fmt=None):
-        if col not in spectra.columns:
+        if col.lower() not in [c.lower() for c in spectra.columns]:
             return F.lit("")
         value = F.col(col) if fmt is None else fmt(F.col(col))
         return F.when(value.isNotNull() & (F.length(value.cast("string")) > 0),
