@@ -65,7 +65,7 @@ def best_saving(a, b, i, j, gain):
             val = reach[r, np.arange(nb)]
             up = val > best_c + 1e-13
             best_c[up], from_r[up] = val[up], r[up]
-            back = np.where(flow > eps, best_c[None, :] - g, -np.inf)
+            back = np.where(flow > eps, best_c[None, :] - np.where(flow > eps, g, 0.0), -np.inf)
             c = back.argmax(1)
             val = back[np.arange(na), c]
             grew = val > best_r + 1e-13
