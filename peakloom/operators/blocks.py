@@ -24,12 +24,24 @@ from ..functions.ragged import Batch
 CELL = 512
 
 
-def _blocks(df: DataFrame, cell: int) -> int:
-    """Blocks of at most ``cell`` rows on average, and enough of them that small
-    inputs still give every core a few cells."""
-    n = df.count()
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return max(1, -(-n // int(cell)), min(math.ceil(math.sqrt(2 * cores)), n // 16))
+MAX_BLOCK = 32_768  # rows of one side; keeps a block of peak lists well under 100 MB
+
+
+def _block_counts(n_left: int, n_right: int, cores: int, cell: int):
+    """Blocks per side: about cell*cell pairs per cell (a short side lets the other grow),
+    and on small inputs enough cells for every core."""
+    bl = max(1, min(cell, n_left))
+    br = max(cell, min(MAX_BLOCK, cell * cell // bl))
+    br = min(br, max(1, n_right))
+    bl = min(n_left, max(bl, min(MAX_BLOCK, cell * cell // br))) or 1
+    nl, nr = -(-n_left // bl), -(-n_right // br)
+    want = 2 * cores
+    if nl * nr < want:
+        side = math.ceil(math.sqrt(want))
+        nl, nr = max(nl, min(side, n_left // 16)), max(nr, min(side, n_right // 16))
+        if nl * nr < want:
+            nr = max(nr, min(-(-want // max(nl, 1)), n_right // 64))
+    return max(1, nl), max(1, nr)
 
 
 def _block_of(n_blocks, *keys):
@@ -40,8 +52,10 @@ def cells(left: DataFrame, right: DataFrame, cell: int = CELL, bucket: str | Non
           upper_only: bool = False):
     """Assign both sides to cells; returns (left, right, key columns)."""
     if bucket is None:
-        nl = _blocks(left, cell)
-        nr = nl if right is left else _blocks(right, cell)
+        n_left = left.count()
+        n_right = n_left if upper_only else right.count()
+        cores = left.sparkSession.sparkContext.defaultParallelism
+        nl, nr = _block_counts(n_left, n_right, cores, cell)
         if upper_only:
             nl = nr = max(nl, nr)
         lb = left.withColumn("_lb", _block_of(F.lit(nl), "q_pos", "query_id"))
@@ -171,16 +185,18 @@ HIT_SCHEMA = "query_id string, q_pos long, library_id string, l_pos long, distan
 
 def best_k(dist, l_pos, k):
     """Row-wise k smallest finite entries, ties by library position."""
-    order = np.argsort(l_pos, kind="stable")
-    d = np.where(np.isfinite(dist), dist, np.inf)[:, order]
-    if k < d.shape[1]:
-        cut = np.partition(d, k - 1, axis=1)[:, k - 1:k]
-        d = np.where(d <= cut, d, np.inf)  # keeps every tie at the cut
-    pick = np.argsort(d, axis=1, kind="stable")[:, :k]
-    rows = np.repeat(np.arange(len(d)), pick.shape[1])
-    cols = pick.ravel()
-    ok = np.isfinite(d[rows, cols])
-    return rows[ok], order[cols[ok]]
+    ok = np.isfinite(dist)
+    full = np.flatnonzero(ok.sum(1) > k)
+    if len(full):
+        sub = np.where(ok[full], dist[full], np.inf)
+        cut = np.partition(sub, k - 1, axis=1)[:, k - 1:k]
+        ok[full] &= sub <= cut  # keeps every tie at the cut
+    rows, cols = np.nonzero(ok)
+    order = np.lexsort((l_pos[cols], dist[rows, cols], rows))
+    rows, cols = rows[order], cols[order]
+    start = np.searchsorted(rows, np.arange(len(dist)))
+    keep = np.arange(len(rows)) - start[rows] < k
+    return rows[keep], cols[keep]
 
 
 def hits_table(lt, rt, dist, rows, cols):
@@ -192,9 +208,33 @@ def hits_table(lt, rt, dist, rows, cols):
         "distance": dist[rows, cols]})
 
 
+def equal_matrix(left, right):
+    """(equal, missing) boolean matrices of two text columns, compared as integer codes."""
+    both = pa.concat_arrays([left.combine_chunks().cast(pa.string()), right.combine_chunks().cast(pa.string())])
+    code = both.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    x, y = code[:len(left)], code[len(left):]
+    return x[:, None] == y[None, :], (x < 0)[:, None] | (y < 0)[None, :]
+
+
 def same_id_mask(lt, rt):
-    return (np.array(lt.column("query_id").to_pylist(), dtype=object)[:, None]
-            == np.array(rt.column("library_id").to_pylist(), dtype=object)[None, :])
+    return equal_matrix(lt.column("query_id"), rt.column("library_id"))[0]
+
+
+def band_width(values: DataFrame, column, least: float, cell: int = CELL) -> float:
+    """Band width for a windowed join: wide enough to fill a cell on sparse data, never
+    narrower than the window itself (so dense data gets the tightest bands)."""
+    r = values.agg(F.min(column).alias("lo"), F.max(column).alias("hi"), F.count(column).alias("n")).first()
+    if not r["n"]:
+        return least
+    return max(least, (r["hi"] - r["lo"]) * cell / r["n"])
+
+
+def into_bands(queries: DataFrame, library: DataFrame, axis, window: float, width: float):
+    """Library rows sit in one band; a query visits every band its window touches, so each
+    pair within the window meets exactly once."""
+    low, high = F.floor((axis - window) / width), F.floor((axis + window) / width)
+    return (queries.withColumn("band", F.explode(F.sequence(low, high))),
+            library.withColumn("band", F.floor(axis / width)))
 
 
 def rank_hits(df: DataFrame, k: int | None, value: str = "distance") -> DataFrame:

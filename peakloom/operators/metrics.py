@@ -56,7 +56,7 @@ def replicate_ranks(spectra: DataFrame, p, key: str = "inchikey", fragment_only:
     """
     import numpy as np
 
-    from .blocks import to_table
+    from .blocks import equal_matrix, to_table
 
     scorer = Scorer(p, fragment_only=fragment_only)
     extra = [key] + scorer.extra()
@@ -65,8 +65,7 @@ def replicate_ranks(spectra: DataFrame, p, key: str = "inchikey", fragment_only:
     q = q.filter(usable)
 
     def keys(lt, rt):
-        return (np.array(lt.column(f"q_{key}").to_pylist(), object)[:, None]
-                == np.array(rt.column(f"l_{key}").to_pylist(), object)[None, :])
+        return equal_matrix(lt.column(f"q_{key}"), rt.column(f"l_{key}"))[0]
 
     def other(lt, rt):
         return lt.column("q_pos").to_numpy()[:, None] != rt.column("l_pos").to_numpy()[None, :]
@@ -178,6 +177,7 @@ def with_running_counts(blocks: DataFrame, parts: int = 64) -> DataFrame:
     Distinct scores are cut at quantiles into ``parts`` ranges; a window runs inside
     each range and range totals (at most ``parts`` rows) carry over.
     """
+    blocks = blocks.persist()  # read three times below
     qs = [i / parts for i in range(1, parts)]
     cuts = blocks.agg(F.percentile_approx("score", F.array(*[F.lit(x) for x in qs]), F.lit(10000))).first()[0]
     cuts = sorted(set(cuts or []))
@@ -266,8 +266,42 @@ def unordered_pairs(pairs_with_keys: DataFrame, transform: str = "linear", scale
         "positive", F.col("q_key") == F.col("l_key"))
 
 
-def auc_roc(pairs_with_keys: DataFrame, transform: str = "linear", scale=None) -> DataFrame:
-    return rank_auc(unordered_pairs(pairs_with_keys, transform, scale), "similarity")
+def scored_pairs(spectra: DataFrame, p, key: str = "inchikey", chars: int = 14, fragment_only: bool = False,
+                 cell: int = 512) -> DataFrame:
+    """i < j pairs with both key prefixes known: q_pos, l_pos, distance, positive.
+
+    Same rows as attach_keys + unordered_pairs on a full table, but one triangle of
+    cells and no joins: the keys travel with the spectra.
+    """
+    import numpy as np
+
+    from ..functions.distances import is_symmetric
+    from .blocks import to_table
+    from .search import unordered_mask
+
+    scorer = Scorer(p, fragment_only=fragment_only)
+    s = spectra.withColumn("_key", key_prefix(F.col(key), chars)).filter(F.col("_key").isNotNull())
+    one_way = is_symmetric(scorer.method, p.ot_method or "exact")
+    q, lib = sides(s, s, scorer.channels(), ["_key"] + scorer.extra(), ["_key"] + scorer.extra())
+    schema = "q_pos long, l_pos long, distance double, positive boolean"
+
+    def reduce_cell(lt, rt):
+        qp, lp = lt.column("q_pos").to_numpy(), rt.column("l_pos").to_numpy()
+        keep = unordered_mask(qp, lp) if one_way else qp[:, None] < lp[None, :]
+        rows, cols = np.nonzero(keep)
+        d = scorer.distance(lt, rt, keep)
+        qk, lk = (np.array(c.to_pylist(), object) for c in (lt.column("q__key"), rt.column("l__key")))
+        a, b = qp[rows], lp[cols]
+        return to_table(schema, {"q_pos": np.minimum(a, b), "l_pos": np.maximum(a, b), "distance": d[rows, cols],
+                                 "positive": (qk[rows] == lk[cols]).astype(bool)})
+
+    return block_apply(q, lib, reduce_cell, schema, cell, upper_only=one_way)
+
+
+def auc_roc(pairs: DataFrame, transform: str = "linear", scale=None) -> DataFrame:
+    """AUC of same-key pairs; takes scored_pairs or a table with attached keys."""
+    x = to_similarity(pairs, transform, scale) if "positive" in pairs.columns else unordered_pairs(pairs, transform, scale)
+    return rank_auc(x, "similarity")
 
 
 def ordered_discrimination(pairs_with_keys: DataFrame) -> DataFrame:

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import distances as D
 from ..functions.ragged import Batch
-from .blocks import (CELL, HIT_SCHEMA, Scorer, _column, _values, block_apply, empty_table, hits_table,
-                     nearest, rank_hits, same_id_mask, sides, to_table)
+from .blocks import (CELL, HIT_SCHEMA, Scorer, _column, _values, band_width, block_apply, empty_table,
+                     hits_table, into_bands, nearest, rank_hits, same_id_mask, sides, to_table)
 
 
 def ri_gate(tolerance: float):
@@ -24,14 +24,10 @@ def ri_gate(tolerance: float):
 
 
 def ri_bands(queries: DataFrame, library: DataFrame, tolerance: float):
-    """Bucket both sides so that every pair within ``tolerance`` meets exactly once:
-    the library sits in one band, each query visits its own and the two next to it."""
-    width = float(tolerance) if tolerance > 0 else 1.0
-    band = F.floor(F.col("ri") / width)
-    lib = library.filter(F.col("ri").isNotNull()).withColumn("band", band)
-    q = queries.filter(F.col("ri").isNotNull()).withColumn(
-        "band", F.explode(F.array(band - 1, band, band + 1)))
-    return q, lib
+    """Bucket both sides so that every pair within ``tolerance`` meets exactly once."""
+    q, lib = queries.filter(F.col("ri").isNotNull()), library.filter(F.col("ri").isNotNull())
+    window = float(tolerance) * (1 + 1e-9)
+    return into_bands(q, lib, F.col("ri"), window, band_width(lib, F.col("ri"), max(window, 1e-9)))
 
 
 def search_library(queries: DataFrame, library: DataFrame, p, top_n: int = 10,

@@ -461,7 +461,7 @@ def order_neighbours_ppm(spark, sf):
     """ppm-aligned weighted cosine of all orders inside 200 ppm precursor bands."""
     p = lc_default_params(distance_method="weighted_cosine")
     plan = LCSearchPlan(precursor_ppm=200.0, require_ion_mode=False)
-    o = V.order_raw(spark, sf).withColumn("frag", P.tic_normalize(F.col("peaks")))
+    o = V.order_raw(spark, sf).withColumn("frag", P.tic_normalize(F.col("peaks"))).drop("peaks").persist()
     q, lib = LC.with_bands(o, o, 200.0)
     hits = nearest(q, lib, Scorer(p, fragment_only=True), 3, exclude_self=True, gate=LC.cell_gate(plan), gate_columns=("precursor_mz",), bucket="band")
     return lid(hits).select("query_id", "rank", "library_id", "distance")
@@ -601,7 +601,7 @@ LC_PLAN = LCSearchPlan(precursor_ppm=200.0, require_ion_mode=True, exclude_same_
 @query
 def lc_search(spark, sf):
     """Gated two-stage search over all orders."""
-    o = V.order_raw(spark, sf).withColumn("frag", P.tic_normalize(F.col("peaks")))
+    o = V.order_raw(spark, sf).withColumn("frag", P.tic_normalize(F.col("peaks"))).drop("peaks").persist()
     x = LC.search_lc_library(o, o, LC_PLAN, lc_default_params())
     return lid(x).select("query_id", "rank", "library_id", "distance", "first_pass_distance")
 
@@ -781,7 +781,7 @@ def library_retrieval(spark, sf):
 
 @query
 def auc_roc(spark, sf):
-    return M.auc_roc(keyed_pairs(spark, sf))
+    return M.auc_roc(M.scored_pairs(grid(spark, sf), Params(distance_method="cosine"), fragment_only=True))
 
 
 @query
@@ -791,7 +791,8 @@ def ordered_auc(spark, sf):
 
 @query
 def fdr_curve(spark, sf):
-    return M.fdr_curve(M.unordered_pairs(keyed_pairs(spark, sf), "minmax"))
+    pairs = M.scored_pairs(grid(spark, sf), Params(distance_method="cosine"), fragment_only=True)
+    return M.fdr_curve(M.to_similarity(pairs, "minmax"))
 
 
 @query
