@@ -220,21 +220,42 @@ def same_id_mask(lt, rt):
     return equal_matrix(lt.column("query_id"), rt.column("library_id"))[0]
 
 
-def band_width(values: DataFrame, column, least: float, cell: int = CELL) -> float:
-    """Band width for a windowed join: wide enough to fill a cell on sparse data, never
-    narrower than the window itself (so dense data gets the tightest bands)."""
-    r = values.agg(F.min(column).alias("lo"), F.max(column).alias("hi"), F.count(column).alias("n")).first()
-    if not r["n"]:
-        return least
-    return max(least, (r["hi"] - r["lo"]) * cell / r["n"])
+def band_scale(library: DataFrame, axis, window: float, cell: int = CELL, knots: int = 16):
+    """A monotone map from the axis to band numbers that puts about ``cell`` library rows
+    in each band, with no band narrower than the window.
 
-
-def into_bands(queries: DataFrame, library: DataFrame, axis, window: float, width: float):
+    Piecewise linear between ``knots`` quantiles, so the map is a small expression
+    however large the library is.  Correctness needs only that it is monotone.
+    """
+    r = library.agg(F.percentile_approx(axis, F.array(*[F.lit(i / knots) for i in range(knots + 1)]), F.lit(10000)).alias("q"),
+                    F.count(axis).alias("n")).first()
+    cuts = sorted(set(r["q"] or []))
+    bands = max(1.0, r["n"] / cell)
+    total = None
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        share = sum(1 for v in r["q"][1:] if lo < v <= hi) / knots
+        slope = min(share * bands / (hi - lo), 1.0 / window)
+        part = (lambda x, lo=lo, hi=hi, slope=slope:
+                (F.least(F.greatest(x, F.lit(lo)), F.lit(hi)) - F.lit(lo)) * F.lit(slope))
+        total = part if total is None else (lambda x, f=total, g=part: f(x) + g(x))
+    return (lambda x: F.floor(total(x))) if total is not None else (lambda x: F.lit(0).cast("long"))
+
+
+def into_bands(queries: DataFrame, library: DataFrame, axis, window: float, cell: int = CELL):
     """Library rows sit in one band; a query visits every band its window touches, so each
     pair within the window meets exactly once."""
-    low, high = F.floor((axis - window) / width), F.floor((axis + window) / width)
+    band = band_scale(library, axis, window, cell)
+    q = queries.withColumns({"_lo": axis - window, "_hi": axis + window})
+    q = q.withColumns({"_lo": band(F.col("_lo")), "_hi": band(F.col("_hi"))})
+    lib = library.withColumn("_x", axis).withColumn("band", band(F.col("_x"))).drop("_x")
+    return q.withColumn("band", F.explode(F.sequence("_lo", "_hi"))).drop("_lo", "_hi"), lib
+
+
+def into_tight_bands(queries: DataFrame, library: DataFrame, axis, window: float):
+    """Equal-width bands of the window size, for a relational join."""
+    low, high = F.floor((axis - window) / window), F.floor((axis + window) / window)
     return (queries.withColumn("band", F.explode(F.sequence(low, high))),
-            library.withColumn("band", F.floor(axis / width)))
+            library.withColumn("band", F.floor(axis / window)))
 
 
 def rank_hits(df: DataFrame, k: int | None, value: str = "distance") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import distances as D
 from ..functions.ragged import Batch
-from .blocks import (CELL, HIT_SCHEMA, Scorer, _column, _values, band_width, block_apply, empty_table,
+from .blocks import (CELL, HIT_SCHEMA, Scorer, _column, _values, block_apply, empty_table,
                      hits_table, into_bands, nearest, rank_hits, same_id_mask, sides, to_table)
 
 
@@ -26,8 +26,7 @@ def ri_gate(tolerance: float):
 def ri_bands(queries: DataFrame, library: DataFrame, tolerance: float):
     """Bucket both sides so that every pair within ``tolerance`` meets exactly once."""
     q, lib = queries.filter(F.col("ri").isNotNull()), library.filter(F.col("ri").isNotNull())
-    window = float(tolerance) * (1 + 1e-9)
-    return into_bands(q, lib, F.col("ri"), window, band_width(lib, F.col("ri"), max(window, 1e-9)))
+    return into_bands(q, lib, F.col("ri"), max(float(tolerance) * (1 + 1e-9), 1e-9))
 
 
 def search_library(queries: DataFrame, library: DataFrame, p, top_n: int = 10,
