@@ -513,14 +513,31 @@ def homolog_detection(spectra: DataFrame, p, similarity: float = 0.5, ri_gap: fl
                       label: str = "compound_class", fragment_only: bool = False) -> DataFrame:
     """Pairs with similarity strictly above the limit whose RI differs by more than the gap;
     score = share of them with the same class."""
-    from .search import pairs_within
-    near = pairs_within(spectra, p, 1.0 - similarity, fragment_only)
-    meta = spectra.select(F.col("pos").cast("long").alias("pos"), "ri", F.col(label).alias("cls"))
-    x = near.join(meta.toDF("q_pos", "q_ri", "q_cls"), "q_pos").join(meta.toDF("l_pos", "l_ri", "l_cls"), "l_pos")
-    x = x.filter(F.abs(F.col("q_ri") - F.col("l_ri")) > ri_gap)
-    n, t = F.count("*"), F.count_if(F.col("q_cls") == F.col("l_cls"))
-    return x.agg(n.alias("n_pairs"), t.alias("n_true")).withColumn(
-        "homolog_score", F.when(F.col("n_pairs") > 0, F.col("n_true") / F.col("n_pairs")).otherwise(0.0))
+    import numpy as np
+
+    from ..functions.distances import is_symmetric
+    from .blocks import _values, equal_matrix, to_table
+    from .search import unordered_mask
+
+    scorer = Scorer(p, fragment_only=fragment_only)
+    one_way = is_symmetric(scorer.method, p.ot_method or "exact")
+    s = spectra.withColumn("_cls", F.col(label).cast("string"))
+    extra = ["ri", "_cls"] + scorer.extra()
+    q, lib = sides(s, s, scorer.channels(), extra, extra)
+    schema = "n long, t long"
+
+    def reduce_cell(lt, rt):
+        qp, lp = lt.column("q_pos").to_numpy(), rt.column("l_pos").to_numpy()
+        mask = unordered_mask(qp, lp) if one_way else qp[:, None] < lp[None, :]
+        with np.errstate(invalid="ignore"):
+            mask = mask & (np.abs(_values(lt, "q_ri")[:, None] - _values(rt, "l_ri")[None, :]) > ri_gap)
+        hit = mask & (scorer.distance(lt, rt, mask) < 1.0 - similarity)
+        same, missing = equal_matrix(lt.column("q__cls"), rt.column("l__cls"))
+        return to_table(schema, {"n": [int(hit.sum())], "t": [int((hit & same & ~missing).sum())]})
+
+    out = block_apply(q, lib, reduce_cell, schema, upper_only=one_way).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_pairs"), F.coalesce(F.sum("t"), F.lit(0)).alias("n_true"))
+    return out.withColumn("homolog_score", F.when(F.col("n_pairs") > 0, F.col("n_true") / F.col("n_pairs")).otherwise(0.0))
 
 
 def homolog_ground_truth(spectra: DataFrame, key: str = "inchikey", min_size: int = 3, chars: int = 14) -> DataFrame:

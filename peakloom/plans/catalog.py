@@ -647,10 +647,7 @@ def density_clusters(spark, sf):
 @query
 def core_spectra(spark, sf):
     """Core flag of density clustering: neighbours within the cut, self included."""
-    near = S.pairs_within(grid(spark, sf), Params(distance_method="cosine"), 0.28, fragment_only=True)
-    ends = near.select("q_pos").unionAll(near.select("l_pos")).toDF("id")
-    n = ends.groupBy("id").agg((F.count("*") + 1).alias("n"))
-    return grid(spark, sf).select(F.col("pos").alias("id")).join(n, "id", "left").select("id", F.coalesce("n", F.lit(1)).alias("n_near"))
+    return CL.near_counts(grid(spark, sf), Params(distance_method="cosine"), 0.28, True).select(F.col("pos").alias("id"), F.col("n_near").alias("n_near"))
 
 
 @query
