@@ -50,7 +50,8 @@ def _block_of(n_blocks, *keys):
 
 def cells(left: DataFrame, right: DataFrame, cell: int = CELL, bucket: str | None = None,
           upper_only: bool = False):
-    """Assign both sides to cells; returns (left, right, key columns)."""
+    """Assign both sides to cells; returns (left, right, key columns,
+    number of cells or None)."""
     if bucket is None:
         n_left = left.count()
         n_right = n_left if upper_only else right.count()
@@ -64,7 +65,7 @@ def cells(left: DataFrame, right: DataFrame, cell: int = CELL, bucket: str | Non
         lb = lb.withColumn("_rb", F.explode(F.sequence(first, F.lit(nr - 1))))
         last = F.col("_rb") if upper_only else F.lit(nl - 1)
         rb = rb.withColumn("_lb", F.explode(F.sequence(F.lit(0), last)))
-        return lb, rb, ["_lb", "_rb"]
+        return lb, rb, ["_lb", "_rb"], nl * nr
     # blocks per bucket follow from its row counts on either side
     size = (left.groupBy(bucket).agg(F.count("*").alias("n_l"))
             .join(right.groupBy(bucket).agg(F.count("*").alias("n_r")), bucket)
@@ -74,7 +75,7 @@ def cells(left: DataFrame, right: DataFrame, cell: int = CELL, bucket: str | Non
           .withColumn("_rb", F.explode(F.sequence(F.lit(0), F.col("_nr") - 1))).drop("_nl", "_nr"))
     rb = (right.join(size, bucket).withColumn("_rb", _block_of(F.col("_nr"), "l_pos", "library_id"))
           .withColumn("_lb", F.explode(F.sequence(F.lit(0), F.col("_nl") - 1))).drop("_nl", "_nr"))
-    return lb, rb, [bucket, "_lb", "_rb"]
+    return lb, rb, [bucket, "_lb", "_rb"], None
 
 
 def _column(table, name):
@@ -98,7 +99,7 @@ def channel_columns(df: DataFrame) -> list:
 def block_apply(left: DataFrame, right: DataFrame, reduce_cell, schema, cell: int = CELL,
                 bucket: str | None = None, upper_only: bool = False) -> DataFrame:
     """Run ``reduce_cell(left_table, right_table) -> arrow table`` on every cell."""
-    lb, rb, keys = cells(left, right, cell, bucket, upper_only)
+    lb, rb, keys, n_cells = cells(left, right, cell, bucket, upper_only)
 
     def run(lt, rt):
         if lt.num_rows == 0 or rt.num_rows == 0:
@@ -108,6 +109,8 @@ def block_apply(left: DataFrame, right: DataFrame, reduce_cell, schema, cell: in
     # a fixed partition number: cells are small in bytes but heavy in CPU, so they
     # must not be coalesced by size
     n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if n_cells is not None:
+        n = min(n, max(n_cells, 2 * left.sparkSession.sparkContext.defaultParallelism))
     lb, rb = lb.repartition(n, *keys), rb.repartition(n, *keys)
     return lb.groupBy(*keys).cogroup(rb.groupBy(*keys)).applyInArrow(run, schema)
 

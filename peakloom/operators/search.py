@@ -74,13 +74,16 @@ def check_rerank(p, first_pass_top_k, final_top_k, first_method, rerank_method):
 
 def search_topk_rerank(queries: DataFrame, library: DataFrame, p, first_pass_method="entropy_weighted",
                        rerank_method="ppm_wasserstein", first_pass_top_k: int = 50, final_top_k: int = 10,
-                       exclude_self: bool = False, fragment_only: bool = False, gate=None,
+                       exclude_self: bool | None = None, fragment_only: bool = False, gate=None,
                        gate_columns=(), bucket: str | None = None, cell: int = CELL) -> DataFrame:
     """Cheap method over the library, then an expensive method on the survivors.
 
     Returns query_id, rank, library_id, distance, first_pass_distance,
-    first_pass_rank.  Survivors (k per query) are joined back to their peaks.
+    first_pass_rank.  Survivors (k per query) are joined back to their peaks.  By
+    default a set searched against itself leaves out each query's own entry.
     """
+    if exclude_self is None:
+        exclude_self = queries.sameSemantics(library)
     check_rerank(p, first_pass_top_k, final_top_k, first_pass_method, rerank_method)
     if fragment_only:
         p = p.with_(w_frag=1.0, w_loss=0.0)

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .. import constants as C
 from ..functions import peaks as P
 from ..operators import benchmark as B
 from ..operators import clustering as CL
@@ -866,7 +865,7 @@ def single_target(spark, sf):
 @query
 def bootstrap_means(spark, sf):
     e = V.table(spark, sf, "events")
-    return ST.bootstrap_ci(e.select("event_type", "user_id", "value"), "value", ["event_type"], cluster="user_id", n_boot=200)
+    return ST.bootstrap_ci(e.select("event_type", "user_id", "value"), "value", ["event_type"], unit="user_id", n_boot=200)
 
 
 @query
@@ -929,5 +928,3 @@ def capped_sample(spark, sf):
     o = V.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("grp"))
     return SA.sample_per_group(o, "grp", 5, 11).groupBy("grp").agg(F.count("*").alias("n"))
 
-
-LOSS_ROWS = C.CORE_LOSSES + C.EXTENDED_LOSSES

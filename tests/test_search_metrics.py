@@ -305,7 +305,7 @@ def test_density_clusters(spark):
 def test_statistics(spark):
     assert ST.exact_mcnemar(0, 0) == 1 and ST.exact_mcnemar(1, 9) == pytest.approx(22 / 1024)
     x = spark.createDataFrame([(g, u, float(u % 5)) for g in "ab" for u in range(200)], "g string, u long, v double")
-    a, b = (ST.bootstrap_ci(x.repartition(n), "v", ["g"], cluster="u", n_boot=200).orderBy("g").collect() for n in (1, 5))
+    a, b = (ST.bootstrap_ci(x.repartition(n), "v", ["g"], unit="u", n_boot=200).orderBy("g").collect() for n in (1, 5))
     for r, s in zip(a, b):
         assert r["mean"] == 2 and 1.7 < r["ci_low"] < 2 < r["ci_high"] < 2.3
         assert r["ci_low"] == pytest.approx(s["ci_low"])
