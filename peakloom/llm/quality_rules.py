@@ -28,7 +28,8 @@ BLANK_RUN = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 
-BUCKETS = 1 << 15
+BUCKETS = 1 << 14
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 THRESHOLD = -0.08
 
 
@@ -80,8 +81,8 @@ def base_rules(text: Column, words: Column) -> dict[str, Column]:
 
 
 def fit(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", trusted_col: str = "doc_id",
-        buckets: int = BUCKETS, prior: float = 20000.0, target_docs: int = 20000) -> list[float]:
-    """The weight log p_target - log p_raw of each bucket."""
+        buckets: int = BUCKETS, prior: float = 20000.0, target_docs: int = 20000) -> DataFrame:
+    """One row, one array: the weight log p_target - log p_raw of each bucket."""
     ids = trusted.select(F.col(trusted_col).alias("id")).where("id is not null").distinct()
     n = ids.count()
     if n > target_docs:
@@ -94,24 +95,32 @@ def fit(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_col
     sums = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)).alias("r"), F.coalesce(F.sum("target"), F.lit(0)).alias("t")).first()
     p = F.col("raw") / F.lit(float(max(1, sums["r"])))
     weight = F.log((F.col("target") + prior * p) / (F.lit(float(sums["t"]) + prior) * p))
+    every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")) \
+        .join(counts.select("bucket", weight.cast("float").alias("weight")), "bucket", "left")
     # one value a bucket: bounded by ``buckets``
-    found = counts.select("bucket", weight.alias("weight")).toPandas()
-    weights = [0.0] * buckets
-    for bucket, w in zip(found["bucket"], found["weight"]):
-        weights[bucket] = float(w)
-    return weights
+    return cut(every.agg(F.sort_array(F.collect_list(F.struct("bucket", F.coalesce("weight", F.lit(0.0).cast("float")).alias("weight")))).alias("x"))
+               .select(F.col("x.weight").alias("weights")))
 
 
-def score(docs: DataFrame, weights: list[float], *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, least_words: int = 10, most_repeats: int = 20) -> DataFrame:
+def score(docs: DataFrame, weights: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS,
+          threshold: float = THRESHOLD, least_words: int = 10, most_repeats: int = 20) -> DataFrame:
     """doc_id, the base counts, base_failed, llr (mean log-likelihood ratio), kept."""
+    # the weights stand in each row for a moment, as an array of bounded size; they need no join and no driver
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")) \
-        .withColumn("w", words_of(F.col("text")))
-    table = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")  # folded to one constant
-    mean = let(table, lambda t: let(ngram_buckets(F.col("w"), len(weights)), lambda g: F.aggregate(
-        g, F.lit(0.0), lambda acc, b: acc + F.get(t, b)) / F.greatest(F.size(g), F.lit(1))))
-    rows = texts.select("doc_id", *[c.alias(n) for n, c in base_rules(F.col("text"), F.col("w")).items()], mean.alias("llr"))
-    failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeats * F.col("n_words"))
-    return rows.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
+        .withColumn("weights", weights.scalar())
+
+    def judged(w: Column) -> Column:
+        mean = let(ngram_buckets(w, buckets), lambda g: F.aggregate(
+            g, F.lit(0.0), lambda acc, b: acc + F.get("weights", b)) / F.greatest(F.size(g), F.lit(1)))
+        return F.struct(*[c.alias(n) for n, c in base_rules(F.col("text"), w).items()], mean.alias("llr"))
+
+    def verdict(j: Column) -> Column:
+        failed = (j["n_words"] < least_words) | (100 * j["n_repeat_words"] > most_repeats * j["n_words"])
+        return F.struct(*[j[n].alias(n) for n in (*BASE, "llr")], failed.alias("base_failed"), (~failed & (j["llr"] >= threshold)).alias("kept"))
+
+    # one expression, so that a filter on the verdict is not taken apart and computed word by word
+    rows = texts.select("doc_id", let(let(words_of(F.col("text")), judged), verdict).alias("j"))
+    return rows.select("doc_id", "j.*")
 
 
 def apply_rules(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
