@@ -80,8 +80,8 @@ def prefix(own: np.ndarray, levels: np.ndarray, order: int, num: int, den: int)
     return own[np.argpartition(keys(own, levels, order), size - 1)[:size]]
 
 
-def _summed(chunks: DataFrame) -> DataFrame:
-    """chunk, counts: packed counters added up chunk by chunk, as a stream."""
+def _summed(chunks: DataFrame, finish) -> DataFrame:
+    """chunk, counts: packed counters added up chunk by chunk, as a stream, then made small by ``finish``."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -90,11 +90,19 @@ def _summed(chunks: DataFrame) -> DataFrame:
                 part = np.frombuffer(zlib.decompress(packed), "<u4").astype(np.uint64)
                 sums[k] = sums[k] + part if k in sums else part
         for k, v in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([v.tobytes()])], ["chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([finish(v).tobytes()])], ["chunk", "counts"])
 
     return chunks.repartition(min(2 * SKETCH // CHUNK, 4 * shuffle_width(chunks.sparkSession)), "chunk").mapInArrow(add, "chunk int, counts binary")
 
 
+def _level(counts: np.ndarray) -> np.ndarray:
+    return np.minimum(np.round(4 * np.log2(counts + 1.0)), 255).astype(np.uint8)
+
+
+def _present(counts: np.ndarray) -> np.ndarray:
+    return np.packbits(counts > 0)
+
+
 def classes(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
     """(doc_id, n, c, c2) of every row, and the level of each sketch counter for two orders."""
 
@@ -123,10 +131,9 @@ def classes(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
             [none, none, none, none, pa.array(used, pa.int32()), pa.array([zlib.compress(parts[i].astype("<u4").tobytes(), 1) for i in used], pa.binary())], names)
 
     both = cut(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, c long, c2 long, chunk int, counts binary"))
-    counts = np.zeros(2 * SKETCH, np.uint64)
-    for r in _summed(both.where("chunk is not null").select("chunk", "counts")).toLocalIterator():
-        counts[r["chunk"] * CHUNK:(r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], "<u8")
-    levels = np.minimum(np.round(4 * np.log2(counts + 1.0)), 255).astype(np.uint8).reshape(2, SKETCH)
+    levels = np.zeros((2, SKETCH), np.uint8)
+    for r in _summed(both.where("chunk is not null").select("chunk", "counts"), _level).collect():  # 2 * SKETCH bytes
+        levels.reshape(-1, CHUNK)[r["chunk"]] = np.frombuffer(r["counts"], np.uint8)
     return both.where("chunk is null").select("doc_id", "n", "c", "c2"), levels
 
 
@@ -251,10 +258,10 @@ def _bitmap(rows: DataFrame, column: str, bits: int = 1 << 23) -> np.ndarray:
 
     # few tasks, so the partial maps stay few; what is added is counters, so a stream sums them
     parts = rows.select(F.col(column).alias("x")).coalesce(max(1, shuffle_width(rows.sparkSession) // 4)).mapInArrow(run, "chunk int, counts binary")
-    out = np.zeros(bits, bool)
-    for r in _summed(parts).toLocalIterator():
-        out[r["chunk"] * size:(r["chunk"] + 1) * size] = np.frombuffer(r["counts"], "<u8") > 0
-    return np.packbits(out)
+    out = np.zeros(bits // 8, np.uint8)
+    for r in _summed(parts, _present).collect():  # bits / 8 bytes
+        out[r["chunk"] * size // 8:(r["chunk"] + 1) * size // 8] = np.frombuffer(r["counts"], np.uint8)
+    return out
 
 
 def verified(docs: DataFrame, pairs: DataFrame, levels, width: int, num: int, den: int) -> DataFrame:
