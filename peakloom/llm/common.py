@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: A key is hot when it holds more than one row in HOT_SHARE; so there are at most HOT_SHARE hot keys.
 HOT_SHARE = 2000
+#: No key is hot with so few rows.
+FEW_ROWS = 250
 
 _MASK = (1 << 64) - 1
 
@@ -48,10 +50,14 @@ def hot_join(rows: DataFrame, table: DataFrame, keys: list[str], n_col: str, tot
 
     ``n_col`` of ``table`` says how many rows share the key. Keys with more than total / HOT_SHARE
     rows, at most HOT_SHARE of them, are broadcast; all others are joined by a shuffle in which
-    no key can hold more than that share. The table is read twice: cut it first.
+    no key can hold more than that share; without hot keys it is a plain join. The table is read
+    more than once: cut it first.
     """
-    share = total // HOT_SHARE
-    values = [c for c in table.columns if c not in keys]
+    share = max(total // HOT_SHARE, FEW_ROWS)
+    most = table.agg(F.max(n_col)).first()[0]
+    if most is None or most <= share:
+        return rows.join(table.drop(n_col), keys, "left")
+    values = [c for c in table.columns if c not in (*keys, n_col)]
     hot = table.where(F.col(n_col) > share).select(*keys, F.struct(*values).alias("_hot"))
     cold = table.where(F.col(n_col) <= share).select(*keys, F.struct(*values).alias("_cold"))
     marked = rows.join(F.broadcast(hot), keys, "left")

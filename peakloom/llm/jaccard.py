@@ -286,8 +286,8 @@ def verified(docs: DataFrame, pairs: DataFrame, levels, width: int, num: int, de
                         found.append(own.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(found, pa.binary())], ["c", "own"])
 
-    # one copy of a class is enough, and all are equal
-    sets = cut(docs.select("text").mapInArrow(load, "c long, own binary").dropDuplicates(["c"]))
+    # one copy of a class is enough, and all are equal; one shuffle by class serves both joins
+    sets = docs.select("text").mapInArrow(load, "c long, own binary").repartition(shuffle_width(spark), "c").dropDuplicates(["c"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = levels.value
