@@ -39,7 +39,7 @@ from .graph import components
 SKETCH = 1 << 20  #: counters a sketch; bounded whatever the corpus
 CHUNK = 1 << 14
 ORDERS = 3
-FEW = 32  #: classes that share a shingle are paired directly up to this number, by stars and rounds beyond
+FEW = 8  #: classes that share a shingle are paired directly up to this number, by stars and rounds beyond
 _ENTRY = np.dtype([("t", "<u4"), ("c", "<i8"), ("s", "u1")])
 
 
@@ -197,7 +197,7 @@ def _expand(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def candidates(dealt: DataFrame, few: int, step: int = 4) -> DataFrame:
-    """kind 0: a pair a < b; kind 1: class b holds the frequent shingle a. Every bucket once."""
+    """kind 0: a pair a < b; kind 2: such a pair of a star; kind 1: class b holds the frequent shingle a. Every bucket once."""
 
     def meet(parts: list[bytes], bucket: int) -> pa.RecordBatch:
         e = np.unique(np.concatenate([np.frombuffer(p, _ENTRY) for p in parts]))  # by shingle, then class
@@ -213,16 +213,19 @@ def candidates(dealt: DataFrame, few: int, step: int = 4) -> DataFrame:
             by = np.lexsort((e["c"][rows], e["s"][rows] // 2, centre))
             lead = np.append(True, (centre[by][1:] != centre[by][:-1]) | (e["s"][rows[by]][1:] // 2 != e["s"][rows[by]][:-1] // 2))
             hub = rows[by][np.maximum.accumulate(np.where(lead, np.arange(len(by)), 0))]
-            i, j = np.concatenate((i, centre, hub)), np.concatenate((j, rows, rows[by]))
-        a, b = e["c"][i], e["c"][j]
-        near = (np.abs(e["s"][i].astype(np.int16) - e["s"][j]) <= step + 1) & (a != b)
-        pairs = np.unique(np.stack((np.minimum(a, b)[near], np.maximum(a, b)[near]), 1), axis=0) if near.any() else np.zeros((0, 2), np.int64)
+        def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            a, b = e["c"][i], e["c"][j]
+            own = (np.abs(e["s"][i].astype(np.int16) - e["s"][j]) <= step + 1) & (a != b)
+            return np.unique(np.stack((np.minimum(a, b)[own], np.maximum(a, b)[own]), 1), axis=0) if own.any() else np.zeros((0, 2), np.int64)
+
+        pairs = near(i, j)
+        stars = near(np.concatenate((centre, hub)), np.concatenate((rows, rows[by]))) if large.any() else pairs[:0]
         often = np.zeros((0, 2), np.int64)
         if large.any():
             name = e["t"][rows].astype(np.int64) + (np.int64(bucket) << np.int64(32))
             often = np.stack((name, e["c"][rows]), 1)
-        kinds = np.repeat(np.array([0, 1], np.int8), [len(pairs), len(often)])
-        both = np.concatenate((pairs, often))
+        kinds = np.repeat(np.array([0, 1, 2], np.int8), [len(pairs), len(often), len(stars)])
+        both = np.concatenate((pairs, often, stars))
         return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["kind", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,6 +319,17 @@ def verified(docs: DataFrame, pairs: DataFrame, levels, width: int, num: int, de
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
+def _checked(edges: DataFrame) -> DataFrame:
+    """Verify now, with few pairs of sets in a batch on the way to Python."""
+    conf, name = edges.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, "256")
+    try:
+        return cut(edges)
+    finally:
+        conf.set(name, before)
+
+
 def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 75, den: int = 100,
          few: int = FEW) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included) of every row."""
@@ -326,8 +340,11 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wid
     total = rows.agg(F.sum("n"), F.count("*")).first()
     buckets = max(4 * shuffle_width(spark), (total[0] or 0) // 1_000_000)
     found = cut(candidates(entries(texts, levels, width, num, den, buckets), few))
-    pairs = cut(found.where("kind = 0").select("a", "b").distinct())
-    edges = cut(verified(texts, pairs, levels, width, num, den))
+    # of its star pairs a class keeps the two of lowest hubs, by two orders; the rounds below miss none of the others
+    stars = found.where("kind = 2").groupBy("b").agg(F.min("a").alias("a1"), F.min_by("a", F.xxhash64("a")).alias("a2")) \
+        .select("b", F.explode(F.array_distinct(F.array("a1", "a2"))).alias("a"))
+    pairs = cut(found.where("kind = 0").select("a", "b").unionByName(stars).distinct())
+    edges = _checked(verified(texts, pairs, levels, width, num, den))
     groups = cut(components(edges))
     frequent = found.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("c"))
     # frequent shingles whose classes aren't in one component yet
@@ -339,7 +356,7 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wid
         .where("a < b and ga <> gb").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
     more = cut(more)
     if not more.isEmpty():
-        edges = edges.unionByName(verified(texts, more, levels, width, num, den))
+        edges = edges.unionByName(_checked(verified(texts, more, levels, width, num, den)))
         groups = cut(components(edges))
     members = rows.where("n > 0").groupBy("c", "c2").agg(F.min("doc_id").alias("low"), F.count("*").alias("n_docs"))
     named = members.join(groups.select(F.col("node").alias("c"), "component"), "c", "left").withColumn("g", F.coalesce("component", "c"))
