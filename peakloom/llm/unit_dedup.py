@@ -22,6 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .common import cut, hot_join, slices
 
@@ -67,7 +68,7 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         "start", "end", F.col("first.id").alias("kept_in")))).alias("removed"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def without(texts: pd.Series, spans: pd.Series) -> pd.Series:
     """Each text without its spans (start and end in turn, sorted)."""
     out = []
