@@ -11,7 +11,7 @@ ROOT = os.path.dirname(os.path.abspath(__file__))
 sys.path.insert(0, ROOT)
 
 HEADLINE = [
-    "derived_pooled", "library_search", "ri_band_search", "cosine_neighbours", "composite_neighbours",
+    "derived_pooled", "library_search", "ri_band_search", "cosine_neighbours", "weighted_cosine_neighbours", "composite_neighbours",
     "entropy_weighted_neighbours", "wasserstein_neighbours", "ppm_wasserstein_neighbours", "rerank_topk",
     "sparse_bin_search", "lc_candidate_audit", "lc_search", "order_neighbours_ppm", "replicate_consistency",
     "precision_at_k", "auc_roc", "analog_graph", "cluster_drivers", "quant_pipeline", "msp_parse",

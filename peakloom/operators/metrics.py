@@ -471,6 +471,8 @@ def nmi_ari(df: DataFrame, truth: str, predicted: str, drop_noise: bool = True)
 def silhouette(spectra: DataFrame, p, label: str, fragment_only: bool = False, cell: int = 512) -> DataFrame:
     """Silhouette width per spectrum; a lone member of its class scores 0.
 
+    Missing, empty and ``unclassified`` labels take no part; below 10 spectra or 2 classes the width is NULL.
+
     Cells reduce to one distance sum per (query, class), so the shuffle is
     queries x classes x blocks rather than all pairs.
     """
@@ -479,7 +481,7 @@ def silhouette(spectra: DataFrame, p, label: str, fragment_only: bool = False, c
     from .blocks import to_table
 
     scorer = Scorer(p, fragment_only=fragment_only)
-    s = spectra.filter(F.col(label).isNotNull()).withColumn("_cls", F.col(label).cast("string"))
+    s = spectra.withColumn("_cls", F.col(label).cast("string")).filter("_cls is not null and _cls not in ('', 'unclassified')")
     q, lib = sides(s, s, scorer.channels(), ["_cls"] + scorer.extra(), ["_cls"] + scorer.extra())
     schema = "query_id string, q_pos long, own string, cls string, total double, n long"
 
@@ -504,7 +506,8 @@ def silhouette(spectra: DataFrame, p, label: str, fragment_only: bool = False, c
     ab = sums.groupBy("query_id", "q_pos", "own").agg(
         F.max(F.when(same, mean)).alias("a"), F.min(F.when(~same, mean)).alias("b"))
     a, b = F.col("a"), F.col("b")
-    width = F.when(a.isNull() | b.isNull(), 0.0).when(F.greatest(a, b) == 0, 0.0).otherwise(
+    enough = s.agg((F.count("*") >= 10) & (F.countDistinct("_cls") >= 2)).scalar()
+    width = F.when(~enough, F.lit(None)).when(a.isNull() | b.isNull(), 0.0).when(F.greatest(a, b) == 0, 0.0).otherwise(
         (b - a) / F.greatest(a, b))
     return ab.select("query_id", F.col("own").alias("label"), width.alias("silhouette"))
 

@@ -89,17 +89,22 @@ def search_topk_rerank(queries: DataFrame, library: DataFrame, p, first_pass_met
         p = p.with_(w_frag=1.0, w_loss=0.0)
     stage1 = nearest(queries, library, Scorer(p, first_pass_method, fragment_only), first_pass_top_k,
                      exclude_self, gate, gate_columns, bucket, cell)
+    # banded queries appear once per band
+    q_rows = queries if bucket is None else queries.dropDuplicates(["pos"])
+    return rerank(stage1, q_rows, library, p, first_pass_method, rerank_method, final_top_k, fragment_only)
+
+
+def rerank(stage1: DataFrame, queries: DataFrame, library: DataFrame, p, first_pass_method, rerank_method,
+           final_top_k: int, fragment_only: bool = False) -> DataFrame:
+    """Score ranked first-pass hits by the second method; every query row appears once in ``queries``."""
     if first_pass_method == rerank_method:
         scored = stage1.withColumn("first_pass_distance", F.col("distance")).withColumn(
             "first_pass_rank", F.col("rank"))
     else:
-        q_rows, l_rows = queries, library
-        if bucket is not None:  # banded queries appear once per band
-            q_rows = queries.dropDuplicates(["pos"])
         cand = stage1.select("query_id", "q_pos", "library_id", "l_pos",
                              F.col("distance").alias("first_pass_distance"),
                              F.col("rank").alias("first_pass_rank"))
-        scored = score_pairs(cand, q_rows, l_rows, Scorer(p, rerank_method, fragment_only))
+        scored = score_pairs(cand, queries, library, Scorer(p, rerank_method, fragment_only))
     return rank_hits(scored.drop("rank"), final_top_k).select(
         "query_id", "q_pos", "rank", "library_id", "l_pos", "distance", "first_pass_distance",
         "first_pass_rank")

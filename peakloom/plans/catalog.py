@@ -372,7 +372,9 @@ def lc_metadata(spark, sf):
 
 @query
 def unique_record_ids(spark, sf):
-    p = V.table(spark, sf, "part").select(F.col("p_partkey").alias("pos"), F.col("p_name").alias("name"))
+    # every seventh name ends like a suffix, so that names and suffixes meet
+    name = F.when(F.col("p_partkey") % 7 == 0, F.concat("p_name", F.lit("__"), (F.col("p_partkey") % 3 + 1).cast("string"))).otherwise(F.col("p_name"))
+    p = V.table(spark, sf, "part").select(F.col("p_partkey").alias("pos"), name.alias("name"))
     return LC.unique_ids(p).select("pos", "id")
 
 
@@ -824,7 +826,7 @@ def event_auc(spark, sf):
 
 @query
 def roc_points(spark, sf):
-    return M.roc_points(V.scored_events(spark, sf)).select(F.col("threshold"), "tp", "fp", "tpr", "fpr").filter("abs(threshold) < 1e300")
+    return M.roc_points(V.scored_events(spark, sf)).select(F.col("threshold"), "tp", "fp", "tpr", "fpr")
 
 
 @query

@@ -276,8 +276,11 @@ def all_sql() -> dict:
         SELECT vec_id AS id, CAST(length(txt) AS BIGINT) AS chars, n + 5 AS lines, md5(txt) AS digest FROM x"""
     sql["lc_metadata"] = f"""WITH {ORDER_PEAKS} SELECT id, round(CAST(mz AS DECIMAL(12, 2))::DOUBLE, 6) + 0.0 AS precursor_mz, rt,
         CASE mode WHEN 'O' THEN 'positive' WHEN 'F' THEN 'negative' END AS ion_mode, upper(replace(adduct, ' ', '')) AS adduct, ce AS collision_energy FROM om"""
-    sql["unique_record_ids"] = """SELECT p_partkey AS pos, CASE WHEN k = 0 THEN p_name ELSE p_name || '__' || CAST(k AS VARCHAR) END AS id
-        FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) - 1 AS k FROM part)"""
+    sql["unique_record_ids"] = """WITH n AS (SELECT p_partkey AS pos, CASE WHEN p_partkey % 7 = 0 THEN p_name || '__' || CAST(p_partkey % 3 + 1 AS VARCHAR) ELSE p_name END AS name FROM part),
+        j AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY pos) - 1 AS j FROM n), d AS (SELECT name, max(j) AS most FROM j GROUP BY 1),
+        k AS (SELECT name, unnest(generate_series(1, CAST(most AS BIGINT) + (SELECT count(*) FROM d x WHERE starts_with(x.name, d.name || '__')))) AS k FROM d WHERE most > 0),
+        f AS (SELECT name, k, row_number() OVER (PARTITION BY name ORDER BY k) AS j FROM k WHERE name || '__' || CAST(k AS VARCHAR) NOT IN (SELECT name FROM d))
+        SELECT pos, CASE WHEN j.j = 0 THEN j.name ELSE j.name || '__' || CAST(f.k AS VARCHAR) END AS id FROM j LEFT JOIN f ON j.name = f.name AND j.j = f.j"""
     # feature tables
     sql["known_dedup"] = f"""WITH {FEATURES} SELECT id, name, {r6('mean', 'mean')}, CAST(CASE WHEN ikey IS NULL THEN 1 ELSE 0 END AS BIGINT) AS part FROM k2"""
     sql["unknown_filter"] = f"WITH {FEATURES} SELECT id, name, {r6('mean', 'mean')} FROM feat WHERE tag = '4' AND mean > 0"
@@ -441,7 +444,9 @@ def all_sql() -> dict:
     sql["event_auc"] = f"WITH {EVENTS}, sc AS (SELECT score AS s, pos AS y FROM ev), {auc}"
     sql["roc_points"] = f"""WITH {EVENTS}, a AS (SELECT score AS s, sum(pos::INT) AS np, sum((NOT pos)::INT) AS nn FROM ev GROUP BY 1),
         b AS (SELECT s, sum(np) OVER w AS tp, sum(nn) OVER w AS fp, sum(np) OVER () AS tpn, sum(nn) OVER () AS fpn FROM a WINDOW w AS (ORDER BY s DESC ROWS UNBOUNDED PRECEDING))
-        SELECT s::DOUBLE AS threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, {r6('tp::DOUBLE / tpn', 'tpr')}, {r6('fp::DOUBLE / fpn', 'fpr')} FROM b"""
+        SELECT s::DOUBLE AS threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, {r6('tp::DOUBLE / tpn', 'tpr')}, {r6('fp::DOUBLE / fpn', 'fpr')} FROM b
+        UNION ALL SELECT 'Infinity'::DOUBLE, 0::BIGINT, 0::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE
+        UNION ALL SELECT '-Infinity'::DOUBLE, CAST(max(tpn) AS BIGINT), CAST(max(fpn) AS BIGINT), 1.0::DOUBLE, 1.0::DOUBLE FROM b"""
     # ties: the first relevant of a block of n with h relevant sits at offset r with chance C(n-1-r, h-1) / C(n, h)
     chance = "exp(lgamma(n - r) - lgamma(h) - lgamma(n - r - h + 1) - (lgamma(n + 1) - lgamma(h + 1) - lgamma(n - h + 1)))"
     tops = ", ".join(f"max((before + 1 <= {k})::INT)::DOUBLE AS top{k}_optimistic, max((before + n - h + 1 <= {k})::INT)::DOUBLE AS top{k}_pessimistic, "

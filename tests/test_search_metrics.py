@@ -327,3 +327,9 @@ def test_params():
     with warnings.catch_warnings():
         warnings.simplefilter("error")
         Params().validate()
+
+
+def test_unique_ids_avoid_taken_suffixes(spark):
+    rows = [(1, "a"), (2, "a"), (3, "a__1"), (4, "a"), (5, None), (6, "a__1"), (7, "a__4"), (8, "a")]
+    out = [r["id"] for r in LC.unique_ids(spark.createDataFrame(rows, "pos long, name string")).orderBy("pos").collect()]
+    assert out == ["a", "a__2", "a__1", "a__3", "entry_5", "a__1__1", "a__4", "a__5"]
