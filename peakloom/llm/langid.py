@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_part
+from .common import cut, in_part
 
 UNKNOWN = "und"
 DIMS = 4096
@@ -92,7 +92,9 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         .where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
     share = (F.lit(float(per_lang)) / F.col("n") * (1 << 31)).cast("long")
-    sample = rows.join(counts.select("lang", share.alias("most")), "lang") \
+    most = cut(counts.select("lang", share.alias("most")))
+    # a row a language: broadcast after a look at its size, so that no text travels by its language
+    sample = rows.join(F.broadcast(most) if most.count() <= 10_000 else most, "lang") \
         .where(F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(7)), F.lit(1 << 31)) < F.col("most"))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
