@@ -12,8 +12,11 @@ A document's set is its distinct shingles. Two documents link when their Jaccard
    smallest class instead of all pairs.
 3. filters and verification: a candidate must share a prefix shingle under each further order too;
    what passes all orders is verified by exact set overlap.
-4. components: after the stars have joined what belongs together, the classes of a frequent shingle
-   that are still in different components are paired and verified as well, so no link is lost.
+4. components: after the stars have joined what belongs together, the classes of frequent shingles that
+   are still in different components meet as well, so no link is lost. Classes tied by such shingles form
+   a team, a team is cut into blocks of bounded size, and each two blocks meet in one cell. Inside a cell
+   the distance of parity sketches bounds the true distance from below and spares most pairs the exact
+   check; a cell emits links that join components, never its pairs.
 
 Sets are made anew from the text where they are needed, so none are kept on disk.
 
@@ -267,11 +270,10 @@ def _bitmap(rows: DataFrame, column: str, bits: int = 1 << 23) -> np.ndarray:
     return out
 
 
-def verified(docs: DataFrame, pairs: DataFrame, levels, width: int, num: int, den: int) -> DataFrame:
-    """The pairs a, b of classes that pass the further orders and then the exact similarity."""
+def sets_for(docs: DataFrame, names: DataFrame, width: int) -> DataFrame:
+    """c, own: the sets of the classes in column c of ``names`` (and of a few more), each once, dealt out by class."""
     spark = docs.sparkSession
-    named = _bitmap(pairs.select(F.explode(F.array("a", "b")).alias("c")), "c")
-    wanted = spark.sparkContext.broadcast(named)
+    wanted = spark.sparkContext.broadcast(_bitmap(names, "c"))
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = wanted.value
@@ -289,8 +291,18 @@ def verified(docs: DataFrame, pairs: DataFrame, levels, width: int, num: int, de
                         found.append(own.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(found, pa.binary())], ["c", "own"])
 
+    return docs.select("text").mapInArrow(load, "c long, own binary").repartition(shuffle_width(spark), "c").dropDuplicates(["c"])
+
+
+def _similar(left: np.ndarray, right: np.ndarray, num: int, den: int) -> bool:
+    common = len(left) + len(right) - len(np.union1d(left, right))
+    return den * common >= num * (len(left) + len(right) - common)
+
+
+def verified(docs: DataFrame, pairs: DataFrame, levels, width: int, num: int, den: int) -> DataFrame:
+    """The pairs a, b of classes that pass the further orders and then the exact similarity."""
     # one copy of a class is enough, and all are equal; one shuffle by class serves both joins
-    sets = docs.select("text").mapInArrow(load, "c long, own binary").repartition(shuffle_width(spark), "c").dropDuplicates(["c"])
+    sets = sets_for(docs, pairs.select(F.explode(F.array("a", "b")).alias("c")), width)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = levels.value
@@ -309,8 +321,7 @@ def verified(docs: DataFrame, pairs: DataFrame, levels, width: int, num: int, de
                         continue
                     # a pair above the threshold shares a prefix shingle under every order
                     if all(np.isin(p, prefix(right, table, k, num, den)).any() for k, p in enumerate(last[2], 1)):
-                        common = len(left) + len(right) - len(np.union1d(left, right))
-                        good[i] = den * common >= num * (len(left) + len(right) - common)
+                        good[i] = _similar(left, right, num, den)
                 yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(good))
 
     # the side that stands for fewer pairs travels with the other: pairs are dealt by b, then by a
@@ -319,6 +330,82 @@ def verified(docs: DataFrame, pairs: DataFrame, levels, width: int, num: int, de
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
+def _parity(sets: list[np.ndarray], bits: int) -> np.ndarray:
+    """One row of ``bits`` a set: whether an odd number of its shingles falls on a bit. Two rows differ in no more bits than the sets in shingles."""
+    out = np.empty((len(sets), bits // 64), np.uint64)
+    step = max(1, (1 << 22) // bits)
+    for at in range(0, len(sets), step):
+        part = sets[at:at + step]
+        place = np.concatenate([(own & np.uint64(bits - 1)).astype(np.int64) + k * bits for k, own in enumerate(part)])
+        odd = np.bincount(place, minlength=len(part) * bits) & 1
+        out[at:at + step] = np.packbits(odd.astype(np.uint8)).view(np.uint64).reshape(len(part), -1)
+    return out
+
+
+def cell_links(sets: list[np.ndarray], group: np.ndarray, side: np.ndarray, levels: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Links that join groups, as index pairs: between two sides, or all inside one where ``side`` is constant.
+
+    Every pair of different groups either is linked through what is returned, or has been found
+    too far apart: by size, by parity sketch, by a prefix under one of the orders, or exactly.
+    """
+    order = np.argsort([len(x) for x in sets], kind="stable")
+    sets, label, side = [sets[i] for i in order], np.unique(group[order], return_inverse=True)[1], side[order]
+    size = np.array([len(x) for x in sets])
+    scale = np.maximum(6, np.ceil(np.log2(4 * size)).astype(int))  # log2 of the bits for rows of this size
+    across = len(np.unique(side)) > 1
+    prefixes: dict[int, list[np.ndarray]] = {}
+    out = []
+
+    def chosen(i: int) -> list[np.ndarray]:
+        if i not in prefixes:
+            prefixes[i] = [prefix(sets[i], levels, k, num, den) for k in range(ORDERS)]
+        return prefixes[i]
+
+    for bits in np.unique(scale):
+        rows = np.flatnonzero(scale == bits)
+        first = int(np.searchsorted(size, -(-size[rows[0]] * num // den)))
+        sketch = _parity(sets[first:rows[-1] + 1], 1 << int(bits))
+        for i in rows:
+            low = max(first, int(np.searchsorted(size, -(-size[i] * num // den))))
+            other = np.arange(low, i)
+            other = other[(label[low:i] != label[i]) & ((side[low:i] != side[i]) | (not across))]
+            if not len(other):
+                continue
+            apart = np.bitwise_count(sketch[other - first] ^ sketch[i - first]).sum(1, dtype=np.int64)
+            near = apart * (den + num) <= (size[other] + size[i]) * (den - num)
+            for j in other[near][np.argsort(apart[near], kind="stable")]:
+                if label[j] != label[i] and all(np.isin(p, q).any() for p, q in zip(chosen(i), chosen(j))) and _similar(sets[i], sets[j], num, den):
+                    out.append((int(order[i]), int(order[j])))
+                    label[label == label[j]] = label[i]
+    return out
+
+
+def meetings(docs: DataFrame, rows: DataFrame, members: DataFrame, levels, width: int, num: int, den: int, block: int = 500_000) -> DataFrame:
+    """a, b: links that join the components of ``members`` (token, c, g: class c of component g holds that shingle).
+
+    Classes tied by shared shingles are a team. ``block`` shingles, on average, are a block of a team; two blocks are a cell.
+    """
+    teams = components(members.select(F.col("token").alias("a"), F.col("c").alias("b")))
+    weights = rows.where("n > 0").select("c", "n").distinct()
+    dealt = cut(members.select("c", "g").distinct().join(weights, "c")
+                .join(teams.select(F.col("node").alias("c"), F.col("component").alias("team")), "c"))
+    sums = cut(dealt.groupBy("team").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"), F.count("*").alias("n_rows")))
+    placed = hot_join(dealt.select("c", "g", "team"), sums, ["team"], "n_rows", dealt.count()) \
+        .withColumn("side", F.expr("cast(pmod(xxhash64(c), blocks) as int)")) \
+        .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))) \
+        .select("c", "g", "team", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
+
+    def meet(cell: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(x.as_buffer(), "<u8") for x in cell.column("own")]
+        names = cell.column("c").to_numpy()
+        links = cell_links(sets, cell.column("g").to_numpy(), cell.column("side").to_numpy(), levels.value, num, den)
+        ends = np.array(links, np.int64).reshape(-1, 2)
+        return pa.table({"a": names[ends[:, 0]], "b": names[ends[:, 1]]})
+
+    sets = sets_for(docs, dealt.select("c"), width)
+    return placed.join(sets, "c").groupBy("team", "i", "j").applyInArrow(meet, "a long, b long")
+
+
 def _checked(edges: DataFrame) -> DataFrame:
     """Verify now, with few pairs of sets in a batch on the way to Python."""
     conf, name = edges.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -351,12 +438,8 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wid
     held = frequent.join(groups.select(F.col("node").alias("c"), "component"), "c", "left") \
         .select("token", "c", F.coalesce("component", "c").alias("g"))
     open_ = cut(held.join(held.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("token"), "token"))
-    more = open_.select("token", F.col("c").alias("a"), F.col("g").alias("ga")) \
-        .join(open_.select("token", F.col("c").alias("b"), F.col("g").alias("gb")), "token") \
-        .where("a < b and ga <> gb").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = cut(more)
-    if not more.isEmpty():
-        edges = edges.unionByName(_checked(verified(texts, more, levels, width, num, den)))
+    if not open_.isEmpty():
+        edges = edges.unionByName(_checked(meetings(texts, rows, open_.select("token", "c", "g"), levels, width, num, den)))
         groups = cut(components(edges))
     members = rows.where("n > 0").groupBy("c", "c2").agg(F.min("doc_id").alias("low"), F.count("*").alias("n_docs"))
     named = members.join(groups.select(F.col("node").alias("c"), "component"), "c", "left").withColumn("g", F.coalesce("component", "c"))

@@ -256,6 +256,28 @@ def test_jaccard_join(spark, few):
     assert jaccard.link(edge(spark)).count() == 8 and jaccard.link(none(spark)).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_cell_links(seed):
+    """The links of a cell join what all links join, inside one block and between two."""
+    rng = np.random.default_rng(seed)
+    levels = np.zeros((2, jaccard.SKETCH), np.uint8)
+    base = rng.integers(0, 1 << 63, 40 * (seed + 1)).astype(np.uint64)
+    sets = [np.unique(np.concatenate((base[rng.random(len(base)) < rng.uniform(.7, 1)], rng.integers(0, 1 << 63, 4).astype(np.uint64))))
+            for _ in range(50)]
+    side = rng.integers(0, 2, 50) if seed % 2 else np.zeros(50, int)
+    alike = [(i, j) for i in range(50) for j in range(i) if (side[i] != side[j] or not seed % 2) and jaccard._similar(sets[i], sets[j], 75, 100)]
+
+    def joined(links):
+        label = list(range(50))
+        for i, j in links:
+            label = [label[i] if x == label[j] else x for x in label]
+        return {frozenset(k for k in range(50) if label[k] == x) for x in label}
+
+    found = jaccard.cell_links(sets, np.arange(50), side, levels, 75, 100)
+    assert joined(found) == joined(alike) and {tuple(sorted(x)[::-1]) for x in found} <= set(alike)
+    assert len(found) < 50
+
+
 def test_word_hashes_and_components(spark):
     import pyarrow as pa
 
