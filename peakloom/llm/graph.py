@@ -27,22 +27,40 @@ def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label = low
 
 
+#: Edges that one task contracts at a time.
+BATCH = 500_000
+
+
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each batch of edges as stars around its own smallest nodes: never more edges than before."""
-    for b in batches:
-        nodes, root = roots(b.column("u").to_numpy(), b.column("v").to_numpy())
+    """Up to BATCH edges at a time as stars around their own smallest nodes: never more edges than before."""
+
+    def stars(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        nodes, root = roots(*(np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("u", "v")))
         own = nodes != root
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(root[own])], ["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(root[own])], ["u", "v"])
+
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.num_rows
+        if size >= BATCH:
+            yield stars(held)
+            held, size = [], 0
+    if size:
+        yield stars(held)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, component (smallest node of it) of every node that has an edge; ``edges``: a, b (long).
 
-    Alternating large-star and small-star rounds after contracting the edges batch by batch; nodes of
-    very many edges meet their minimum by a broadcast of bounded size.
+    Alternating large-star and small-star rounds after contracting the edges twice, where they lie and
+    dealt out in shares of about BATCH, which leaves few rounds; nodes of very many edges meet their
+    minimum by a broadcast of bounded size.
     """
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
-    e = cut(pairs.mapInArrow(_contract, "u long, v long").distinct())
+    near = cut(pairs.mapInArrow(_contract, "u long, v long"))
+    shares = max(2, -(-near.count() // BATCH))
+    e = cut(near.repartition(shares, "u", "v").mapInArrow(_contract, "u long, v long").distinct())
 
     def state(x: DataFrame):
         return tuple(x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())

@@ -42,7 +42,7 @@ from .graph import components
 SKETCH = 1 << 20  #: counters a sketch; bounded whatever the corpus
 CHUNK = 1 << 14
 ORDERS = 3
-FEW = 32  #: classes that share a shingle are paired directly up to this number, by stars and rounds beyond
+FEW = 4  #: classes that share a shingle are paired directly up to this number, by stars and cells beyond
 _ENTRY = np.dtype([("t", "<u4"), ("c", "<i8"), ("s", "u1")])
 
 

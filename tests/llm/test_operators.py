@@ -240,7 +240,7 @@ def brute_components(texts):
             return {i: (len(sets[i]), root[i]) for i in sets}
 
 
-@pytest.mark.parametrize("few", [1, 32])
+@pytest.mark.parametrize("few", [1, 4, 32])
 def test_jaccard_join(spark, few):
     rng = np.random.default_rng(4)
     words = [f"w{i}" for i in range(400)]
