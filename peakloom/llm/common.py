@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,12 +20,8 @@ FEW_ROWS = 250
 _MASK = (1 << 64) - 1
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the folder of ``spark.checkpoint.dir`` and cut its lineage there.
-
-    A temporary folder stands in only for a local master without that setting (tests).
-    """
-    spark = df.sparkSession
+def cut_folder(spark: SparkSession) -> None:
+    """Set the checkpoint folder from ``spark.checkpoint.dir``, or a temporary one for a local master without it (tests)."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", "")
@@ -33,9 +30,22 @@ def cut(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="run-")
         sc.setCheckpointDir(folder)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the folder of ``spark.checkpoint.dir`` and cut its lineage there."""
+    cut_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Like ``cut``, as a Parquet table in that folder: what made it runs once, where an eager checkpoint runs it twice."""
+    cut_folder(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

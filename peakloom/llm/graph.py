@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, hot_join
+from .common import hot_join, stored
 
 
 def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,26 +58,25 @@ def components(edges: DataFrame) -> DataFrame:
     minimum by a broadcast of bounded size.
     """
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
-    near = cut(pairs.mapInArrow(_contract, "u long, v long"))
+    near = stored(pairs.mapInArrow(_contract, "u long, v long"))
     shares = max(2, -(-near.count() // BATCH))
-    e = cut(near.repartition(shares, "u", "v").mapInArrow(_contract, "u long, v long").distinct())
+    e = stored(near.repartition(shares, "u", "v").mapInArrow(_contract, "u long, v long").distinct())
 
-    def state(x: DataFrame):
-        return tuple(x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+    def open_ends(x: DataFrame) -> bool:
+        """Whether a node has two edges upwards, or one upwards and one downwards: then it isn't stars yet."""
+        ends = x.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")),
+                                          F.struct(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("end"))
+        return not ends.groupBy("end.x").agg(F.sum("end.up").alias("up"), F.max("end.down").alias("down")).where("up + down > 1 and up > 0").isEmpty()
 
-    was = state(e)
-    while was[0]:
+    while open_ends(e):
+        n = e.count()
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")))
-        large = cut(hot_join(both, low, ["u"], "n", 2 * was[0]).where("v > u and v <> m")
-                    .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        low = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
-        small = hot_join(large, low, ["u"], "n", 2 * was[0]).select(F.col("v").alias("u"), F.col("m").alias("v")) \
-            .unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        e = cut(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-        now = state(e)
-        if now == was:
-            break
-        was = now
+        low = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")))
+        large = stored(hot_join(both, low, ["u"], "n", 2 * n).where("v > u and v <> m")
+                       .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        low = stored(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        small = hot_join(large, low, ["u"], "n", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")) \
+            .unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v")
+        e = stored(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")) \
         .unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, hot_join, mixed, shingles, shuffle_width, slices, text_bytes
+from .common import hot_join, mixed, shingles, shuffle_width, slices, stored, text_bytes
 from .graph import components
 
 SKETCH = 1 << 20  #: counters a sketch; bounded whatever the corpus
@@ -133,7 +133,7 @@ def classes(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
         yield pa.RecordBatch.from_arrays(
             [none, none, none, none, pa.array(used, pa.int32()), pa.array([zlib.compress(parts[i].astype("<u4").tobytes(), 1) for i in used], pa.binary())], names)
 
-    both = cut(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, c long, c2 long, chunk int, counts binary"))
+    both = stored(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, c long, c2 long, chunk int, counts binary"))
     levels = np.zeros((2, SKETCH), np.uint8)
     for r in _summed(both.where("chunk is not null").select("chunk", "counts"), _level).collect():  # 2 * SKETCH bytes
         levels.reshape(-1, CHUNK)[r["chunk"]] = np.frombuffer(r["counts"], np.uint8)
@@ -387,9 +387,9 @@ def meetings(docs: DataFrame, rows: DataFrame, members: DataFrame, levels, width
     """
     teams = components(members.select(F.col("token").alias("a"), F.col("c").alias("b")))
     weights = rows.where("n > 0").select("c", "n").distinct()
-    dealt = cut(members.select("c", "g").distinct().join(weights, "c")
+    dealt = stored(members.select("c", "g").distinct().join(weights, "c")
                 .join(teams.select(F.col("node").alias("c"), F.col("component").alias("team")), "c"))
-    sums = cut(dealt.groupBy("team").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"), F.count("*").alias("n_rows")))
+    sums = stored(dealt.groupBy("team").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"), F.count("*").alias("n_rows")))
     placed = hot_join(dealt.select("c", "g", "team"), sums, ["team"], "n_rows", dealt.count()) \
         .withColumn("side", F.expr("cast(pmod(xxhash64(c), blocks) as int)")) \
         .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))) \
@@ -412,7 +412,7 @@ def _checked(edges: DataFrame) -> DataFrame:
     before = conf.get(name)
     conf.set(name, "256")
     try:
-        return cut(edges)
+        return stored(edges)
     finally:
         conf.set(name, before)
 
@@ -426,26 +426,26 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wid
     levels = spark.sparkContext.broadcast(counts)
     total = rows.agg(F.sum("n"), F.count("*")).first()
     buckets = max(4 * shuffle_width(spark), (total[0] or 0) // 1_000_000)
-    found = cut(candidates(entries(texts, levels, width, num, den, buckets), few))
+    found = stored(candidates(entries(texts, levels, width, num, den, buckets), few))
     # of its star pairs a class keeps the two of lowest hubs, by two orders; the rounds below miss none of the others
     stars = found.where("kind = 2").groupBy("b").agg(F.min("a").alias("a1"), F.min_by("a", F.xxhash64("a")).alias("a2")) \
         .select("b", F.explode(F.array_distinct(F.array("a1", "a2"))).alias("a"))
-    pairs = cut(found.where("kind = 0").select("a", "b").unionByName(stars).distinct())
+    pairs = stored(found.where("kind = 0").select("a", "b").unionByName(stars).distinct())
     edges = _checked(verified(texts, pairs, levels, width, num, den))
-    groups = cut(components(edges))
+    groups = stored(components(edges))
     frequent = found.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("c"))
     # frequent shingles whose classes aren't in one component yet
     held = frequent.join(groups.select(F.col("node").alias("c"), "component"), "c", "left") \
         .select("token", "c", F.coalesce("component", "c").alias("g"))
-    open_ = cut(held.join(held.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("token"), "token"))
+    open_ = stored(held.join(held.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("token"), "token"))
     if not open_.isEmpty():
         edges = edges.unionByName(_checked(meetings(texts, rows, open_.select("token", "c", "g"), levels, width, num, den)))
-        groups = cut(components(edges))
+        groups = stored(components(edges))
     members = rows.where("n > 0").groupBy("c", "c2").agg(F.min("doc_id").alias("low"), F.count("*").alias("n_docs"))
     named = members.join(groups.select(F.col("node").alias("c"), "component"), "c", "left").withColumn("g", F.coalesce("component", "c"))
     lows = named.groupBy("g").agg(F.min("low").alias("component_id"), F.sum("n_docs").alias("in_all"))
     # classes of one document without links need no answer: it is its own component
-    answers = cut(named.join(lows, "g").where("in_all > 1").select("c", "c2", "component_id", "n_docs"))
+    answers = stored(named.join(lows, "g").where("in_all > 1").select("c", "c2", "component_id", "n_docs"))
     out = hot_join(rows, answers, ["c", "c2"], "n_docs", total[1])
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
