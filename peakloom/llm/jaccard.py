@@ -10,13 +10,14 @@ A document's set is its distinct shingles. Two documents link when their Jaccard
    global order. Under the first order the prefixes are dealt out by shingle and classes that share one,
    with sizes within the bound, become candidates. A shingle of many classes gives a star around its
    smallest class instead of all pairs.
-3. filters and verification: a candidate must share a prefix shingle under each further order too;
-   what passes all orders is verified by exact set overlap.
+3. filters and verification: the distance of two parity sketches, made in step 1, bounds the true distance
+   from below and rules out most candidates before any set travels. What is left must share a prefix shingle
+   under each further order too and is then verified by exact set overlap.
 4. components: after the stars have joined what belongs together, the classes of frequent shingles that
    are still in different components meet as well, so no link is lost. Classes tied by such shingles form
-   a team, a team is cut into blocks of bounded size, and each two blocks meet in one cell. Inside a cell
-   the distance of parity sketches bounds the true distance from below and spares most pairs the exact
-   check; a cell emits links that join components, never its pairs.
+   a team, a team is cut into blocks of bounded size, and each two blocks meet in one cell: first the
+   sketches, which tell the classes that may have a partner outside their component, then the sets of
+   these classes. A cell emits such classes, or links that join components, never its pairs.
 
 Sets are made anew from the text where they are needed, so none are kept on disk.
 
@@ -106,38 +107,51 @@ def _present(counts: np.ndarray) -> np.ndarray:
     return np.packbits(counts > 0)
 
 
+def sketch(own: np.ndarray) -> np.ndarray:
+    """Bytes that tell, for 4 to 8 bits a shingle, whether an odd number of shingles falls on a bit. Two sketches differ in no more bits than the sets in shingles."""
+    bits = 1 << max(6, math.ceil(math.log2(4 * len(own))))
+    odd = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little")
+
+
+def folded(data: np.ndarray, size: int) -> np.ndarray:
+    """The same set's sketch of ``size`` bytes, as 64-bit numbers."""
+    return np.bitwise_xor.reduce(data.reshape(-1, size), 0).view(np.uint64)
+
+
 def classes(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n, c, c2) of every row, and the level of each sketch counter for two orders."""
+    """(doc_id, n, c, c2, sketch) of every row, and the level of each sketch counter for two orders."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros((2, SKETCH), np.uint32)
-        names = ["doc_id", "n", "c", "c2", "chunk", "counts"]
+        names = ["doc_id", "n", "c", "c2", "sketch", "chunk", "counts"]
         for b in slices(batches, "text"):
-            n, one, two, seen = [], [], [], []
+            n, one, two, odd, seen = [], [], [], [], []
             for _, own in sets_of(b, width):
                 n.append(len(own))
                 a, c = digest(own) if len(own) else (None, None)
                 one.append(a)
                 two.append(c)
+                odd.append(sketch(own).tobytes() if len(own) else None)
                 seen.append(own)
             every = np.concatenate(seen)
             for order in range(2):
                 counters[order] += np.bincount(_slot(every, order), minlength=SKETCH).astype(np.uint32)
             none = [None] * b.num_rows
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(none, pa.int32()),
-                 pa.array(none, pa.binary())], names)
+                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(odd, pa.binary()),
+                 pa.array(none, pa.int32()), pa.array(none, pa.binary())], names)
         parts = counters.reshape(-1, CHUNK)
         used = [int(i) for i in np.flatnonzero(parts.any(1))]
         none = pa.array([None] * len(used), pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [none, none, none, none, pa.array(used, pa.int32()), pa.array([zlib.compress(parts[i].astype("<u4").tobytes(), 1) for i in used], pa.binary())], names)
+            [none, none, none, none, pa.array([None] * len(used), pa.binary()), pa.array(used, pa.int32()), pa.array([zlib.compress(parts[i].astype("<u4").tobytes(), 1) for i in used], pa.binary())], names)
 
-    both = stored(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, c long, c2 long, chunk int, counts binary"))
+    both = stored(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, c long, c2 long, sketch binary, chunk int, counts binary"))
     levels = np.zeros((2, SKETCH), np.uint8)
     for r in _summed(both.where("chunk is not null").select("chunk", "counts"), _level).collect():  # 2 * SKETCH bytes
         levels.reshape(-1, CHUNK)[r["chunk"]] = np.frombuffer(r["counts"], np.uint8)
-    return both.where("chunk is null").select("doc_id", "n", "c", "c2"), levels
+    return both.where("chunk is null").select("doc_id", "n", "c", "c2", "sketch"), levels
 
 
 def _size_step(n: int, num: int, den: int) -> int:
@@ -270,6 +284,50 @@ def _bitmap(rows: DataFrame, column: str, bits: int = 1 << 23) -> np.ndarray:
     return out
 
 
+def sketches_for(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """c, n, sketch: of the classes in column c of ``names`` (and of a few more), each once, dealt out by class."""
+    spark = rows.sparkSession
+    wanted = spark.sparkContext.broadcast(_bitmap(names, "c"))
+
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = wanted.value
+        seen: set[int] = set()
+        for b in batches:
+            own = b.column("c").to_numpy()
+            at = (mixed(own.astype(np.uint64)) & np.uint64(8 * len(bits) - 1)).astype(np.int64)
+            keep = (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+            for i in np.flatnonzero(keep):
+                keep[i] = int(own[i]) not in seen
+                if len(seen) < 200_000:
+                    seen.add(int(own[i]))
+            yield b.filter(pa.array(keep))
+
+    return rows.where("n > 0").select("c", "n", "sketch").mapInArrow(load, "c long, n long, sketch binary") \
+        .repartition(shuffle_width(spark), "c").dropDuplicates(["c"])
+
+
+def near_pairs(rows: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs a, b that sizes and sketches don't rule out."""
+    sketches = sketches_for(rows, pairs.select(F.explode(F.array("a", "b")).alias("c")))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = np.zeros(b.num_rows, bool)
+            sizes = b.column("n").to_numpy(), b.column("m").to_numpy()
+            total = sizes[0] + sizes[1]
+            able = den * np.minimum(*sizes) >= num * np.maximum(*sizes)
+            for i in np.flatnonzero(able):
+                x, y = (np.frombuffer(b.column(k)[int(i)].as_buffer(), np.uint8) for k in ("x", "y"))
+                least = min(len(x), len(y))
+                apart = int(np.bitwise_count(folded(x, least) ^ folded(y, least)).sum(dtype=np.int64))
+                good[i] = apart * (den + num) <= int(total[i]) * (den - num)
+            yield b.select(["a", "b"]).filter(pa.array(good))
+
+    first = pairs.join(sketches.select(F.col("c").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y")), "b")
+    both = first.join(sketches.select(F.col("c").alias("a"), "n", F.col("sketch").alias("x")), "a")
+    return both.select("a", "b", "n", "m", "x", "y").mapInArrow(check, "a long, b long")
+
+
 def sets_for(docs: DataFrame, names: DataFrame, width: int) -> DataFrame:
     """c, own: the sets of the classes in column c of ``names`` (and of a few more), each once, dealt out by class."""
     spark = docs.sparkSession
@@ -380,20 +438,62 @@ def cell_links(sets: list[np.ndarray], group: np.ndarray, side: np.ndarray, leve
     return out
 
 
-def meetings(docs: DataFrame, rows: DataFrame, members: DataFrame, levels, width: int, num: int, den: int, block: int = 500_000) -> DataFrame:
+def cell_near(sketches: list[np.ndarray], size: np.ndarray, group: np.ndarray, side: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether a class may be linked with one of another group: between two sides, or inside one where ``side`` is constant."""
+    order = np.argsort(size, kind="stable")
+    size, label, side = size[order], group[order], side[order]
+    wide = np.array([len(sketches[i]) for i in order])
+    across = len(np.unique(side)) > 1
+    out = np.zeros(len(order), bool)
+    for least in np.unique(wide):  # the wider sketch of a pair is folded to the narrower one
+        rows = np.flatnonzero(wide == least)
+        last = int(np.searchsorted(size, size[rows[-1]] * den // num, "right"))
+        odd = np.stack([folded(sketches[order[k]], int(least)) for k in range(rows[0], last)])
+        for i in rows:
+            high = int(np.searchsorted(size, size[i] * den // num, "right"))
+            other = np.arange(i + 1, high)
+            other = other[(label[i + 1:high] != label[i]) & ((side[i + 1:high] != side[i]) | (not across))]
+            if not len(other):
+                continue
+            apart = np.bitwise_count(odd[other - rows[0]] ^ odd[i - rows[0]]).sum(1, dtype=np.int64)
+            near = other[apart * (den + num) <= (size[other] + size[i]) * (den - num)]
+            if len(near):
+                out[i] = True
+                out[near] = True
+    found = np.zeros(len(order), bool)
+    found[order] = out
+    return found
+
+
+def _placed(dealt: DataFrame, block: int) -> DataFrame:
+    """c, g, team, side and the cell i, j of each class and block that it meets; a block holds ``block`` shingles on average."""
+    sums = stored(dealt.groupBy("team").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"), F.count("*").alias("n_rows")))
+    return hot_join(dealt.select("c", "g", "team"), sums, ["team"], "n_rows", dealt.count()) \
+        .withColumn("side", F.expr("cast(pmod(xxhash64(c), blocks) as int)")) \
+        .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))) \
+        .select("c", "g", "team", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
+
+
+def meetings(docs: DataFrame, rows: DataFrame, members: DataFrame, levels, width: int, num: int, den: int,
+             block: int = 500_000, wide_block: int = 2_000_000) -> DataFrame:
     """a, b: links that join the components of ``members`` (token, c, g: class c of component g holds that shingle).
 
-    Classes tied by shared shingles are a team. ``block`` shingles, on average, are a block of a team; two blocks are a cell.
+    Classes tied by shared shingles are a team. ``block`` shingles (``wide_block`` while sketches stand for them), on
+    average, are a block of a team; two blocks are a cell.
     """
     teams = components(members.select(F.col("token").alias("a"), F.col("c").alias("b")))
     weights = rows.where("n > 0").select("c", "n").distinct()
     dealt = stored(members.select("c", "g").distinct().join(weights, "c")
                 .join(teams.select(F.col("node").alias("c"), F.col("component").alias("team")), "c"))
-    sums = stored(dealt.groupBy("team").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"), F.count("*").alias("n_rows")))
-    placed = hot_join(dealt.select("c", "g", "team"), sums, ["team"], "n_rows", dealt.count()) \
-        .withColumn("side", F.expr("cast(pmod(xxhash64(c), blocks) as int)")) \
-        .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))) \
-        .select("c", "g", "team", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
+
+    def flag(cell: pa.Table) -> pa.Table:
+        sketches = [np.frombuffer(x.as_buffer(), np.uint8) for x in cell.column("sketch")]
+        near = cell_near(sketches, cell.column("n").to_numpy(), cell.column("g").to_numpy(), cell.column("side").to_numpy(), num, den)
+        return cell.select(["c"]).filter(pa.array(near))
+
+    able = stored(_placed(dealt, wide_block).join(sketches_for(rows, dealt.select("c")), "c").groupBy("team", "i", "j")
+                  .applyInArrow(flag, "c long").distinct())
+    dealt = stored(dealt.join(able, "c"))
 
     def meet(cell: pa.Table) -> pa.Table:
         sets = [np.frombuffer(x.as_buffer(), "<u8") for x in cell.column("own")]
@@ -403,7 +503,7 @@ def meetings(docs: DataFrame, rows: DataFrame, members: DataFrame, levels, width
         return pa.table({"a": names[ends[:, 0]], "b": names[ends[:, 1]]})
 
     sets = sets_for(docs, dealt.select("c"), width)
-    return placed.join(sets, "c").groupBy("team", "i", "j").applyInArrow(meet, "a long, b long")
+    return _placed(dealt, block).join(sets, "c").groupBy("team", "i", "j").applyInArrow(meet, "a long, b long")
 
 
 def _checked(edges: DataFrame) -> DataFrame:
@@ -431,6 +531,7 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wid
     stars = found.where("kind = 2").groupBy("b").agg(F.min("a").alias("a1"), F.min_by("a", F.xxhash64("a")).alias("a2")) \
         .select("b", F.explode(F.array_distinct(F.array("a1", "a2"))).alias("a"))
     pairs = stored(found.where("kind = 0").select("a", "b").unionByName(stars).distinct())
+    pairs = _checked(near_pairs(rows, pairs, num, den))
     edges = _checked(verified(texts, pairs, levels, width, num, den))
     groups = stored(components(edges))
     frequent = found.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("c"))

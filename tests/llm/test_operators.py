@@ -273,6 +273,14 @@ def test_cell_links(seed):
             label = [label[i] if x == label[j] else x for x in label]
         return {frozenset(k for k in range(50) if label[k] == x) for x in label}
 
+    sketches = [jaccard.sketch(x) for x in sets]
+    near = jaccard.cell_near(sketches, np.array([len(x) for x in sets]), np.arange(50), side, 75, 100)
+    assert {i for pair in alike for i in pair} <= set(np.flatnonzero(near))
+    assert not jaccard.cell_near(sketches, np.array([len(x) for x in sets]), np.zeros(50, int), side, 75, 100).any()
+    for i in range(49):  # sketches of any two widths never differ in more bits than the sets in shingles
+        least = min(len(sketches[i]), len(sketches[i + 1]))
+        apart = np.bitwise_count(jaccard.folded(sketches[i], least) ^ jaccard.folded(sketches[i + 1], least)).sum()
+        assert apart <= len(np.setxor1d(sets[i], sets[i + 1]))
     found = jaccard.cell_links(sets, np.arange(50), side, levels, 75, 100)
     assert joined(found) == joined(alike) and {tuple(sorted(x)[::-1]) for x in found} <= set(alike)
     assert len(found) < 50
