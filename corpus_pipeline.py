@@ -32,8 +32,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the units that an earlier document holds."""
-    return _counted(unit_dedup.dedup(docs))
+    """Texts without the units that an earlier document holds, passages of short sentences or lines too."""
+    return _counted(unit_dedup.dedup(docs, whole=True))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,12 @@ place) stays, and all others are removed, their original offsets kept. Units of
 ``min_words`` words stay: common short lines are no sign of copying. ``sentence`` cuts lines further
 after sentence ends, so that passages set into the middle of a line are found too.
 
+``whole`` also hashes the lines and paragraphs around the units, and, around every unit of too few
+words, the shortest runs of neighbouring units that reach ``min_words``, one that begins and one that
+ends with it; the words are counted on the larger unit. So a passage of short sentences or short lines
+goes with all its units, and a short unit beside a copied one goes where the earlier text has both side
+by side. Any repeated run of whole units that has ``min_words`` words in all is covered by such pieces.
+
 Defined results: a null text stays null and an empty one empty, without units; rows equal in id and
 text are one document, treated alike; null ids rank first; an empty table gives no rows; offsets are
 code points, end exclusive; ``dedup`` keeps all other columns.
@@ -29,23 +35,59 @@ from .common import cut, hot_join, slices
 CUTS = {"line": r"(?<=\n)", "paragraph": r"(?<=\n\n)", "sentence": r"(?<=\n)|(?<=[.!?] )"}
 
 
-def units(docs: DataFrame, unit: str, min_words: int) -> DataFrame:
+def parts_of(text: str, pattern: re.Pattern) -> list[tuple[int, int, list[str]]]:
+    """Start, end and words of every unit that has words."""
+    out, at = [], 0
+    for part in pattern.split(text):
+        words = part.split()
+        if words:
+            out.append((at, at + len(part), words))
+        at += len(part)
+    return out
+
+
+def runs(parts: list[tuple[int, int, list[str]]], min_words: int) -> Iterator[tuple[int, int, list[str]]]:
+    """For each part of fewer than ``min_words`` words, the shortest runs of parts with that many that begin and end with it."""
+    for i, (_, _, words) in enumerate(parts):
+        if len(words) < min_words:
+            for step in (1, -1):
+                n, k = len(words), i
+                while n < min_words and 0 <= k + step < len(parts):
+                    k += step
+                    n += len(parts[k][2])
+                if n >= min_words:
+                    lo, hi = min(i, k), max(i, k)
+                    yield parts[lo][0], parts[hi][1], [w for p in parts[lo:hi + 1] for w in p[2]]
+
+
+def units(docs: DataFrame, unit: str, min_words: int, whole: bool = False) -> DataFrame:
     """id, h, start, end, d1, d2 of every unit that can be removed; ``docs``: id, h, text."""
     pattern = re.compile(CUTS[unit])
+    larger = [re.compile(CUTS[c]) for c in ("line", "paragraph") if c != unit] if whole else []
+
+    def pieces(text: str) -> Iterator[tuple[int, int, list[str]]]:
+        fine = parts_of(text, pattern)
+        yield from (p for p in fine if len(p[2]) >= min_words)
+        if whole:
+            yield from runs(fine, min_words)
+            for wide in larger:
+                yield from (p for p in parts_of(text, wide) if len(p[2]) >= min_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             row, start, end, digests = [], [], [], []
             for i, text in enumerate(b.column("text").to_pylist()):
-                at = 0
-                for part in pattern.split(text or ""):
-                    words = part.split()
-                    if len(words) >= min_words:
-                        row.append(i)
-                        start.append(at)
-                        end.append(at + len(part))
-                        digests.append(hashlib.md5(" ".join(words).lower().encode("utf-8", "surrogatepass")).digest())
-                    at += len(part)
+                seen = set()
+                for at, stop, words in pieces(text or ""):
+                    if whole:  # one piece of words is counted once, by whatever cuts it is found
+                        place = (at + len(text[at:stop]) - len(text[at:stop].lstrip()), len(words))
+                        if place in seen:
+                            continue
+                        seen.add(place)
+                    row.append(i)
+                    start.append(at)
+                    end.append(stop)
+                    digests.append(hashlib.md5(" ".join(words).lower().encode("utf-8", "surrogatepass")).digest())
             d = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
             take = pa.array(row, pa.int32())
             yield pa.RecordBatch.from_arrays(
@@ -55,22 +97,28 @@ def units(docs: DataFrame, unit: str, min_words: int) -> DataFrame:
     return docs.select("id", "h", "text").mapInArrow(run, "id long, h long, start int, end int, d1 long, d2 long")
 
 
-def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", unit: str = "sentence", min_words: int = 8) -> DataFrame:
-    """id, h (text hash), removed: array<struct<start, end, kept_in>>, of every document that loses a unit."""
+def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", unit: str = "sentence", min_words: int = 8,
+            whole: bool = False) -> DataFrame:
+    """id, h (text hash), removed: array<struct<start, end, kept_in>>, of every document that loses a unit.
+
+    With ``whole``, the spans of a document may lie over each other.
+    """
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    all_units = units(keyed, unit, min_words)
-    place = F.struct("id", "h", "start")
+    all_units = units(keyed, unit, min_words, whole)
+    place = F.struct("id", "h", "start", "end")
     shared = cut(all_units.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"))
     total = shared.agg(F.sum("n")).first()[0] or 0
     found = hot_join(all_units, shared, ["d1", "d2"], "n", total).where(F.col("first").isNotNull())
-    gone = found.where(~F.struct("id", "h", "start").eqNullSafe(F.col("first")))
+    # runs of one text may lie over each other: what overlaps its own first place is no copy of it
+    same_text = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("h") == F.col("first.h"))
+    gone = found.where(~same_text | (F.col("start") >= F.col("first.end")))
     return gone.groupBy("id", "h").agg(F.sort_array(F.collect_set(F.struct(
         "start", "end", F.col("first.id").alias("kept_in")))).alias("removed"))
 
 
 @F.pandas_udf(StringType())
 def without(texts: pd.Series, spans: pd.Series) -> pd.Series:
-    """Each text without its spans (start and end in turn, sorted)."""
+    """Each text without its spans (start and end in turn, sorted by start; they may lie over each other)."""
     out = []
     for text, own in zip(texts, spans):
         if own is None or not len(own):
@@ -79,7 +127,7 @@ def without(texts: pd.Series, spans: pd.Series) -> pd.Series:
         parts, at = [], 0
         for k in range(0, len(own), 2):
             parts.append(text[at:own[k]])
-            at = own[k + 1]
+            at = max(at, own[k + 1])
         out.append("".join(parts) + text[at:])
     return pd.Series(out, dtype=object)
 
@@ -89,9 +137,9 @@ def flat(removed: Column) -> Column:
 
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", unit: str = "sentence", min_words: int = 8,
-          removed_col: str | None = None) -> DataFrame:
+          removed_col: str | None = None, whole: bool = False) -> DataFrame:
     """``docs`` with repeated units cut out of the text; ``removed_col`` names a column for their original offsets."""
-    gone = repeats(docs, id_col=id_col, text_col=text_col, unit=unit, min_words=min_words) \
+    gone = repeats(docs, id_col=id_col, text_col=text_col, unit=unit, min_words=min_words, whole=whole) \
         .select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("removed").alias("__removed"))
     key = docs.withColumn("__key", F.xxhash64(text_col))
     both = key.join(gone, key[id_col].cast("long").eqNullSafe(gone["__id"]) & (key["__key"] == gone["__h"]), "left")
