@@ -5,6 +5,11 @@ over the corpus by distinct repositories and owners: a value of many owners is a
 example, a value of one owner (or few) that looks random is a live credential. Positions come from
 the gaps between matches: the text split at the pattern and the matches themselves alternate.
 
+``few_owners=None`` takes the bound from the corpus: a value is widely copied when more than SEVERAL
+owners and more than SHARE of all owners hold it. ``by_kind`` judges the looks by kind: a value
+that stands behind a name (``assign``) is live unless it is a placeholder or fewer than three
+different characters, the others need eight different ones.
+
 Defined results: a null text is empty; a null repository or owner is one value of its own; repeated
 rows are scanned each, and count once for their owner; rows keep their order of spans by start,
 then kind; an empty table gives no rows; other columns are ignored by ``scan``.
@@ -34,6 +39,9 @@ BASE = ("assign", "access", "hex")
 #: What a text with any candidate holds; one cheap pass leaves the others alone.
 ANY = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]|[0-9a-f]{24}|gh[opsur]_|xox[abprs]-|AIza|eyJ[A-Za-z0-9_-]{8}|-----BEGIN "
 PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|your[_-]|xxxx|0000000000|1234567890"
+#: Owners that may quote one live secret: this many, or this share of all owners, if that is more.
+SEVERAL = 5
+SHARE = 0.01
 SPAN = "array<struct<start: long, end: long, kind: int, value: string>>"
 
 
@@ -85,13 +93,21 @@ def ownership(spans: DataFrame) -> DataFrame:
     return both.groupBy("hash").agg(F.sum("n").alias("n"), F.sum("r").alias("n_repos"), F.sum("o").alias("n_owners"))
 
 
+def owners_of_live(docs: DataFrame, owner_col: str = "source") -> int:
+    """How many owners may hold a value that is not widely copied, from all owners of the corpus."""
+    owners = docs.select(F.col(owner_col).cast("string").alias("owner")).distinct().count()
+    return max(SEVERAL, int(SHARE * owners))
+
+
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str = "source",
-         few_owners: int = 1) -> DataFrame:
+         few_owners: int | None = 1, by_kind: bool = False) -> DataFrame:
     """doc_id and spans (start, end, kind, value, n_repos, n_owners, live) of every row, each span judged by the corpus.
 
     ``live``: at most ``few_owners`` owners hold the value, it is no placeholder, and it has eight
-    different characters at least.
+    different characters at least (``by_kind``: three for an assigned value).
     """
+    if few_owners is None:
+        few_owners = owners_of_live(docs, owner_col)
     # small rows: no text; what follows reads this table
     rows = cut(candidates(docs, text_col, id_col, repo_col, owner_col).withColumn("row", F.monotonically_increasing_id()))
     each = rows.where(F.size("spans") > 0).select("row", "repo", "owner", F.explode("spans").alias("s")) \
@@ -100,7 +116,8 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rep
     total = counts.agg(F.sum("n")).first()[0] or 0
     judged = hot_join(each.select("row", "s", "hash"), counts, ["hash"], "n", total)
     value = F.col("s.value")
-    live = (F.col("n_owners") <= few_owners) & ~value.rlike(PLACEHOLDER) & (F.size(F.array_distinct(F.split(value, ""))) >= 8)
+    different = F.when(F.lit(by_kind) & (F.col("s.kind") == 0), 3).otherwise(8)
+    live = (F.col("n_owners") <= few_owners) & ~value.rlike(PLACEHOLDER) & (F.size(F.array_distinct(F.split(value, ""))) >= different)
     back = judged.select("row", F.struct(
         F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.kind").alias("kind"), value.alias("value"),
         F.col("n_repos"), F.col("n_owners"), live.alias("live")).alias("s")).groupBy("row").agg(F.sort_array(F.collect_list("s")).alias("judged"))
@@ -122,16 +139,18 @@ def mask_spans(text: Column, spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str = "source",
-           few_owners: int = 1) -> DataFrame:
-    """``docs`` with live secrets masked in the text; every row and column stays.
+           few_owners: int | None = 1) -> DataFrame:
+    """``docs`` with live secrets masked in the text, their looks judged by kind; every row and column stays.
 
     Only rows with a candidate are joined (by id and text hash, so repeated rows agree); the others pass by.
     """
+    if few_owners is None:
+        few_owners = owners_of_live(docs, owner_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
     maybe = text.rlike(ANY)
     some = docs.where(maybe).withColumn("__key", F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("h")))
     judged = scan(some.select(F.col("__key").alias("k"), text.alias("t"), F.col(repo_col).alias("r"), F.col(owner_col).alias("o")),
-                  id_col="k", text_col="t", repo_col="r", owner_col="o", few_owners=few_owners)
+                  id_col="k", text_col="t", repo_col="r", owner_col="o", few_owners=few_owners, by_kind=True)
     live = judged.select(F.col("doc_id.h").alias("__h"), F.coalesce(F.col("doc_id.id").cast("string"), F.lit("")).alias("__id"),
                          F.filter("spans", lambda s: s["live"]).alias("__live")).where(F.size("__live") > 0).dropDuplicates(["__h", "__id"])
     own = some.withColumn("__h", F.col("__key.h")).withColumn("__id", F.coalesce(F.col("__key.id").cast("string"), F.lit("")))
