@@ -14,6 +14,7 @@ packed each on its own; an empty table gives no pieces; other columns are ignore
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from bisect import insort
 from collections.abc import Iterator
@@ -31,23 +32,30 @@ END = 0
 class Encoder:
     """Token ids as little-endian unsigned 32-bit bytes, of one byte-level BPE vocabulary.
 
-    ``ranks_path`` is the same vocabulary in rank form; it is read by a faster library, and the
-    vocabulary at ``path`` itself serves where that one gives up. Without it, only ``path`` is used.
+    The ids are those of ``tokenizers`` with the vocabulary at ``path`` and ``add_special_tokens=False``:
+    the content of an added token, as <|endoftext|>, is that token. ``ranks_path`` is the same vocabulary
+    in rank form for ``tiktoken``, a faster library that knows no added tokens; texts that hold one, and
+    those where that library gives up, go to ``tokenizers``. Without it, only ``path`` is used.
     """
 
     def __init__(self, path: str, ranks_path: str | None = None, pattern: str | None = None):
         self.path, self.slow, self.fast = path, None, None
         if ranks_path:
             import base64
+            import json
 
             import tiktoken
 
+            with open(path, encoding="utf-8") as f:
+                added = [token["content"] for token in json.load(f).get("added_tokens") or ()]
+            self.added = re.compile("|".join(map(re.escape, added))) if added else None
+
             with open(ranks_path, "rb") as f:
                 ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
             self.fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> bytes:
-        if self.fast is not None:
+        if self.fast is not None and not (self.added and self.added.search(text)):
             try:
                 return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
             except (KeyboardInterrupt, SystemExit, MemoryError):
@@ -58,7 +66,6 @@ class Encoder:
             from tokenizers import Tokenizer
 
             self.slow = Tokenizer.from_file(self.path)
-            self.slow.encode_special_tokens = True
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
