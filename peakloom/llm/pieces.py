@@ -7,7 +7,8 @@ The distinct words of a batch are sorted, which lays them out as a trie in depth
 forward states of a prefix shared with the word before stay on the stack, and only the rest of the
 word is worked out. Characters without a piece fall back to byte pieces.
 
-A state is what is known of the best encoding of a prefix: its last piece and its ids. Under the
+A state is what is known of the best encoding of a prefix: its last piece, the ids of that piece and
+where it starts; the ids of a word are written by walking back over these starts once. Under the
 rule of a BPE file, a path is the library's own result exactly when no two neighbouring pieces
 would have been merged across their border before each was complete; so, of the pieces that end at
 a position, the one that fits the last piece of the prefix before it goes on, and there is one.
@@ -116,7 +117,7 @@ class Model:
     def segment(self, words: list[str]) -> list[bytes]:
         """Ids (as little-endian 32-bit integers) of distinct words, given in sorted order."""
         root, pairs = self.root, self.pairs
-        last, made = [""], [b""]  # the stack: last piece and ids, per prefix length
+        last, own, back = [""], [b""], [0]  # the stack: last piece, its ids and its start, per prefix length
         before, out = "", []
         for word in words:
             shared = 0
@@ -124,7 +125,7 @@ class Model:
                 if x != y:
                     break
                 shared += 1
-            del last[shared + 1:], made[shared + 1:]
+            del last[shared + 1:], own[shared + 1:], back[shared + 1:]
             end = shared
             for char in word[shared:]:
                 ids, piece, longer = root.get(char, NONE)
@@ -148,12 +149,18 @@ class Model:
                             pairs[key] = good
                     if good:
                         last.append(piece)
-                        made.append(made[start] + ids)
+                        own.append(ids)
+                        back.append(start)
                         break
                 else:
                     last.append("")  # bytes never merge with anything
-                    made.append(made[end - 1] + self.fallback(char))
-            out.append(made[-1])
+                    own.append(self.fallback(char))
+                    back.append(end - 1)
+            path = []
+            while end:
+                path.append(own[end])
+                end = back[end]
+            out.append(b"".join(reversed(path)))
             before = word
         return out
 
