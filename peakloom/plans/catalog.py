@@ -653,9 +653,9 @@ def core_spectra(spark, sf):
 
 @query
 def connected_orders(spark, sf):
-    """Connected groups of customers and parts linked by small orders."""
+    """Connected groups of customers and parts linked by all order lines."""
     o = V.table(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    li = V.table(spark, sf, "lineitem").filter("l_quantity = 1").select("l_orderkey", "l_partkey")
+    li = V.table(spark, sf, "lineitem").select("l_orderkey", "l_partkey")
     e = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("a"), (F.col("l_partkey") + 1000000000).alias("b"))
     nodes = e.select(F.col("a").alias("node")).union(e.select("b")).distinct()
     return CL.connected_groups(e, nodes).select(F.col("node"), F.col("group").alias("component"))
