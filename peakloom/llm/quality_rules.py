@@ -6,9 +6,8 @@ its proportions), so a bucket without evidence weighs nothing. The score of a do
 over its n-grams, of log p_target - log p_raw; every document at ``threshold`` or more is kept, by
 that comparison alone, unless a base rule fails it.
 
-``trusted`` gives the ids of the trusted documents. At most about ``target_docs`` of them, chosen by
-a hash of the id, form the target sample; this is the documented bound of the fit, and bounds the
-broadcast of ids. The raw counts and the scores cover all documents.
+``trusted`` gives the ids of the trusted documents; all of them are counted. They are joined without a
+hint: Spark broadcasts the ids while they are below its own bound and shuffles by id beyond it.
 
 Defined results: a null text has no words and fails the base rules; without trusted documents every
 score is 0; a null id is never trusted; repeated rows count and are scored each; an empty table
@@ -81,14 +80,14 @@ def base_rules(text: Column, words: Column) -> dict[str, Column]:
 
 
 def fit(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", trusted_col: str = "doc_id",
-        buckets: int = BUCKETS, prior: float = 20000.0, target_docs: int = 20000) -> DataFrame:
+        buckets: int = BUCKETS, prior: float = 20000.0) -> DataFrame:
     """One row, one array: the weight log p_target - log p_raw of each bucket."""
     ids = trusted.select(F.col(trusted_col).alias("id")).where("id is not null").distinct()
-    n = ids.count()
-    if n > target_docs:
-        ids = ids.where(F.pmod(F.xxhash64("id", F.lit(8)), F.lit(1 << 30)) < int(target_docs / n * (1 << 30)))
-    flagged = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")) \
-        .join(F.broadcast(ids.withColumn("target", F.lit(1))), "id", "left")
+    texts = docs.select(F.col(id_col).alias("own"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # rows without id match nothing, and are dealt by their text
+    dealt = F.coalesce("own", F.pmod(F.xxhash64("text"), F.lit(1 << 30)).cast(texts.schema["own"].dataType))
+    flagged = texts.withColumn("dealt", dealt).join(
+        ids.withColumn("target", F.lit(1)), (F.col("dealt") == F.col("id")) & F.col("own").isNotNull(), "left")
     grams = flagged.select(F.coalesce("target", F.lit(0)).alias("target"), words_of(F.col("text")).alias("w")) \
         .select("target", F.explode(ngram_buckets(F.col("w"), buckets)).alias("bucket"))
     counts = cut(grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("target").alias("target")))
