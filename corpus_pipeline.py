@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peakloom.llm import jaccard, packing, quality_rules, secret_scan, unit_dedup
+from peakloom.llm.common import hot_join, stored
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -24,11 +25,29 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each linked group, the one of the smallest id; rows that repeat an id count once, rows without id stay."""
-    first = jaccard.link(docs.select("doc_id", "text")).where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_anti").select(*docs.columns)
-    named = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(kept.where("doc_id is null"))
+    """One text of each linked group, the one of the smallest id, then text hash; rows equal in id and text count once, rows without id stay."""
+    keyed = docs.withColumn("__h", F.xxhash64("text"))
+    names = stored(keyed.where("doc_id is not null").select("doc_id", "__h").distinct())
+    if names.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        gone = jaccard.link(docs.select("doc_id", "text")).where("doc_id <> component_id").select("doc_id").distinct()
+        kept = keyed.join(gone, "doc_id", "left_anti")
+    else:
+        gone = _later_texts(keyed, names)
+        kept = keyed.join(gone, ["doc_id", "__h"], "left_anti")
+    named = kept.where("doc_id is not null").dropDuplicates(["doc_id", "__h"])
+    return named.unionByName(kept.where("doc_id is null")).select(*docs.columns)
+
+
+def _later_texts(keyed: DataFrame, names: DataFrame) -> DataFrame:
+    """doc_id, __h of every text that isn't the first of its group, where ids hold several texts; ``names``: all doc_id, __h."""
+    names = stored(names.withColumn("__key", F.monotonically_increasing_id()))
+    texts = keyed.join(names, ["doc_id", "__h"]).select("__key", "text") \
+        .unionByName(keyed.where("doc_id is null").select(F.lit(None).cast("long").alias("__key"), "text"))
+    groups = jaccard.link(texts, id_col="__key").where("doc_id is not null").select(F.col("doc_id").alias("__key"), "component_id").distinct()
+    members = stored(groups.join(names, "__key").select("doc_id", "__h", "component_id"))
+    firsts = stored(members.groupBy("component_id").agg(F.min(F.struct("doc_id", "__h")).alias("first"), F.count("*").alias("n")))
+    found = hot_join(members, firsts, ["component_id"], "n", members.count())
+    return found.where(F.struct("doc_id", "__h") != F.col("first")).select("doc_id", "__h")
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
