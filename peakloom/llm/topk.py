@@ -11,8 +11,8 @@ work asked for), and each meeting gives one small result per query, never its pa
    ids that can still be needed; rank these few rows.
 
 Defined results: vectors that are null, empty, or hold a null or non-finite component take no
-part, nor do rows without id, nor components too large for their product to fit a long; only
-vectors of one dimension are compared; a row whose id equals the query's is its own; each query
+part, nor do rows without id; a component or a score beyond 2^63 - 2 is an error that names its row;
+only vectors of one dimension are compared; a row whose id equals the query's is its own; each query
 row has its own result, each repeated candidate row counts; fewer than k candidates are all returned.
 """
 
@@ -29,17 +29,20 @@ from pyspark.sql import functions as F
 from .common import cut, shuffle_width
 
 BINS = 256
+#: Scores lie within this, and one value above it stays free.
+MOST = 2 ** 63 - 2
 BLOCK = "block long, dim int, rows int, most double, ids binary, ints binary"
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, factor: float) -> DataFrame:
     """id and floor(factor * component) of every vector that takes part."""
-    x = F.transform(F.col(vector_col).cast("array<double>"), lambda v: F.floor(v * factor))
-    raw = F.col(vector_col)
-    limit = F.sqrt(F.lit(2.0 ** 62) / F.greatest(F.size(raw), F.lit(1)))
-    fine = F.forall(raw, lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) * factor < limit - 1))
-    return vectors.where(F.col(id_col).isNotNull() & raw.isNotNull() & (F.size(raw) > 0)).where(fine) \
-        .select(F.col(id_col).cast("long").alias("id"), x.cast("array<long>").alias("v"))
+    raw, own = F.col(vector_col), F.col(id_col)
+    fine = F.forall(raw, lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) < F.lit(math.inf)))
+    large = F.exists(raw, lambda v: F.abs(v.cast("double") * factor) >= float(MOST))
+    x = F.transform(raw, lambda v: F.floor(v.cast("double") * factor))
+    told = F.raise_error(F.concat(F.lit(f"a component does not fit a long: {id_col} "), own.cast("string"))).cast("array<long>")
+    return vectors.where(own.isNotNull() & raw.isNotNull() & (F.size(raw) > 0)).where(fine) \
+        .select(own.cast("long").alias("id"), F.when(large, told).otherwise(x.cast("array<long>")).alias("v"))
 
 
 def blocks(rows: DataFrame, size: int) -> DataFrame:
@@ -89,7 +92,16 @@ def _scores(q: dict, c: dict) -> np.ndarray:
         return np.frombuffer(x["ints"], wide).reshape(x["rows"], x["dim"])
     bound = q["most"] * c["most"]
     kind = np.float32 if bound < 2 ** 23 else np.float64 if bound < 2 ** 52 else np.int64
-    return (matrix(q).astype(kind) @ matrix(c).astype(kind).T).astype(np.int64)
+    a, b = matrix(q).astype(kind), matrix(c).astype(kind)
+    s = (a @ b.T).astype(np.int64)
+    if bound >= 2 ** 62:
+        # sums wrap round, so they are exact wherever the true score fits; those near the end are added up as whole numbers
+        near = np.abs(a.astype(np.float64) @ b.astype(np.float64).T) + bound * len(a[0]) * 2.0 ** -50 >= 2.0 ** 63
+        for i, j in zip(*np.nonzero(near & (q["ids"][:, None] != c["ids"][None, :]))):
+            score = sum(x * y for x, y in zip(a[i].tolist(), b[j].tolist()))
+            if abs(score) > MOST:
+                raise OverflowError(f"the score of vectors {q['ids'][i]} and {c['ids'][j]} does not fit a long")
+    return s
 
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, dict, np.ndarray]]:
@@ -134,7 +146,7 @@ def search(vectors: DataFrame, query_rows: DataFrame, k: int, *, id_col: str = "
 
     # the k-th score of each query lies in [low, low + span); above: how many are over that range
     asked = asks.agg(F.max("most")).first()[0] or 0.0
-    reach = math.ceil(asked * longest) + 1
+    reach = min(math.ceil(asked * longest) + 1, MOST)
     width = max(1, math.ceil((2 * reach + 1) / BINS))
     span = BINS * width
     state = None  # per query block: arrays low, above
@@ -145,10 +157,11 @@ def search(vectors: DataFrame, query_rows: DataFrame, k: int, *, id_col: str = "
                 n = len(q["ids"])
                 at = slice(q["first"], q["first"] + n)
                 low = np.full(n, -reach) if first else np.array(q["low"][at])
-                over_low = s - low[:, None]
-                bins = over_low // width
+                # the distance may pass the end of a signed long
+                over_low = s.view(np.uint64) - low.astype(np.int64).view(np.uint64)[:, None]
                 # candidates over the range are counted already; under it they can't matter
-                bins[(s == np.iinfo(np.int64).min) | (over_low < 0) | (over_low >= span)] = -1
+                outside = (s < low[:, None]) | (over_low >= np.uint64(min(span, 2 ** 64 - 1)))
+                bins = np.where(outside, -1, (over_low // np.uint64(width)).astype(np.int64))
                 rows = np.repeat(np.arange(n), s.shape[1])
                 hit = bins.ravel() >= 0
                 hist = np.bincount(rows[hit] * BINS + bins.ravel()[hit], minlength=n * BINS).reshape(n, BINS)
@@ -175,7 +188,9 @@ def search(vectors: DataFrame, query_rows: DataFrame, k: int, *, id_col: str = "
             .withColumn("last", F.row_number().over(Window.partitionBy("block", "row").orderBy("bin")))
         # the bin where the count reaches k, or the lowest one if there are fewer than k
         pick = run.where((F.col("upto") >= k) & (F.col("upto") - F.col("n") < k) | (F.col("upto") < k) & (F.col("last") == 1))
-        chosen = pick.select("block", "row", (F.col("low0") + F.col("bin") * width).alias("low"), (F.col("upto") - F.col("n")).alias("above"))
+        exact = lambda x: x.cast("decimal(19,0)")
+        low = (exact(F.col("low0")) + F.col("bin").cast("decimal(10,0)") * exact(F.lit(width))).cast("long")
+        chosen = pick.select("block", "row", low.alias("low"), (F.col("upto") - F.col("n")).alias("above"))
         # one row per query block; a block is bounded, and queries without any candidate keep an unreachable bound
         rows = asks.select(F.col("block"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"))
         full = rows.join(chosen, ["block", "row"], "left").select("block", F.struct(
@@ -219,10 +234,10 @@ def op5_topk(spark, sf_dir: str) -> DataFrame:
 
 OP5_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS HUGEINT)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
