@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions import peaks as P
 from ..operators import benchmark as B
+from ..operators import bin_index as BI
 from ..operators import clustering as CL
 from ..operators import deriv as DV
 from ..operators import explain as X
@@ -576,6 +577,14 @@ def sparse_bin_search(spark, sf):
     return lid(x).select("query_id", "rank", "library_id", "distance")
 
 
+@query
+def indexed_bin_search(spark, sf):
+    """Inverted bin index: every order spectrum against all of them, only promising pairs scored."""
+    s = V.order_raw(spark, sf).withColumn("frag", F.col("peaks"))
+    x = BI.search_indexed(s, s, Params(distance_method="cosine"), top_k=5, use_loss=False)
+    return lid(x).select("query_id", "rank", "library_id", "distance")
+
+
 @query
 def smeared_bins(spark, sf):
     g = SP.BinGrid.from_params(Params())

@@ -338,6 +338,16 @@ def all_sql() -> dict:
         SELECT q AS query_id, CAST(rank AS BIGINT) AS rank, l AS library_id, {r6('d', 'distance')}, {r6('d1', 'first_pass_distance')}, CAST(r1 AS BIGINT) AS first_pass_rank FROM z WHERE rank <= 5"""
     # on isolated peaks every smeared pattern has one shape, so the bin cosine is the plain one
     sql["sparse_bin_search"] = f"WITH {GRID}, {pair_cosine('d', 'f', True)} {top_hits(6)}"
+    sql["indexed_bin_search"] = f"""WITH {ORDER_PEAKS}, e AS (
+        SELECT id, CAST(least(greatest(floor(ln(CAST(mz AS DOUBLE) / 35.0) / ln(1 + 2e-6) + 0.5) + 1, 1), {_n_bins() - 1}) AS BIGINT) + k AS bin, it * (1 - abs(k) / 11e0) AS v
+        FROM op, unnest(range(-10, 11)) AS u(k) WHERE id IN (SELECT id FROM om)),
+        b AS (SELECT id, bin, sum(v) AS v FROM e WHERE bin BETWEEN 1 AND {_n_bins()} GROUP BY id, bin),
+        n AS (SELECT id, sqrt(sum(v * v)) AS norm FROM b GROUP BY 1),
+        w AS (SELECT b.id, bin, v / norm AS v FROM b JOIN n ON b.id = n.id),
+        d AS (SELECT x.id AS q, y.id AS l, round(1 - sum(x.v * y.v), 10) AS d FROM w x JOIN w y ON x.bin = y.bin GROUP BY x.id, y.id HAVING round(1 - sum(x.v * y.v), 10) < 1),
+        f AS (SELECT om.id AS q, h.id AS l, 1.0 AS d FROM om, (SELECT id FROM om ORDER BY id LIMIT 10) h WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.q = om.id AND d.l = h.id)),
+        z AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, l) AS rank FROM (SELECT * FROM d UNION ALL SELECT * FROM f))
+        SELECT q AS query_id, CAST(rank AS BIGINT) AS rank, l AS library_id, {r6('d', 'distance')} FROM z WHERE rank <= 5"""
     sql["smeared_bins"] = f"""WITH {GRID}, b AS (SELECT vec_id, least(greatest(floor(ln(mz / 35.0) / ln(1 + 2e-6) + 0.5) + 1, 1), {_n_bins() - 1}) AS b FROM f)
         SELECT vec_id AS id, count(*) * 21 AS n_bins, 1.0::DOUBLE AS total, CAST(min(b) - 10 AS BIGINT) AS first_bin, CAST(max(b) + 10 AS BIGINT) AS last_bin FROM b GROUP BY 1"""
     gates = [("after_precursor", "TRUE"), ("after_ion_mode", "a.mode = b.mode"), ("after_adduct", "a.adduct = b.adduct"), ("after_rt", "abs(a.rt - b.rt) <= 600"),
