@@ -6,8 +6,9 @@ its proportions), so a bucket without evidence weighs nothing. The score of a do
 over its n-grams, of log p_target - log p_raw; every document at ``threshold`` or more is kept, by
 that comparison alone, unless a base rule fails it.
 
-``trusted`` gives the ids of the trusted documents; all of them are counted. They are joined without a
-hint: Spark broadcasts the ids while they are below its own bound and shuffles by id beyond it.
+``trusted`` gives the ids of the trusted documents; all of them are counted. The raw counts need no join. For the target
+the documents are read through a bitmap of the trusted ids, of at most MOST_BITS bits, and what it lets through meets the
+ids in a sort-merge join at every size; texts of other documents don't travel, but for the bitmap's false positives.
 
 Defined results: a null text has no words and fails the base rules; without trusted documents every
 score is 0; a null id is never trusted; repeated rows count and are scored each; an empty table
@@ -28,6 +29,8 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 
 BUCKETS = 1 << 14
+#: Bits of the map of trusted ids: BITS_AN_ID for each id, this many at most (2 MB).
+MOST_BITS, BITS_AN_ID = 1 << 24, 16
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 THRESHOLD = -0.08
 
@@ -79,18 +82,33 @@ def base_rules(text: Column, words: Column) -> dict[str, Column]:
     }
 
 
+def id_map(ids: DataFrame) -> tuple[DataFrame, int]:
+    """One row, one array of longs: a bit for the hash of each ``id``; and how many bits there are."""
+    bits = min(MOST_BITS, max(1 << 12, 1 << (BITS_AN_ID * ids.count()).bit_length()))
+    place = F.pmod(F.xxhash64("id"), F.lit(bits))
+    words = ids.select(F.floor(place / 64).cast("int").alias("word"), (place % 64).cast("int").alias("bit")) \
+        .groupBy("word").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("has"))
+    every = ids.sparkSession.range(bits // 64).select(F.col("id").cast("int").alias("word")).join(words, "word", "left")
+    filled = F.struct("word", F.coalesce("has", F.lit(0).cast("long")).alias("has"))
+    # one value for 64 bits: bounded by MOST_BITS
+    return cut(every.agg(F.sort_array(F.collect_list(filled)).alias("x")).select(F.col("x.has").alias("words"))), bits
+
+
 def fit(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", trusted_col: str = "doc_id",
         buckets: int = BUCKETS, prior: float = 20000.0) -> DataFrame:
     """One row, one array: the weight log p_target - log p_raw of each bucket."""
     ids = trusted.select(F.col(trusted_col).alias("id")).where("id is not null").distinct()
     texts = docs.select(F.col(id_col).alias("own"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # rows without id match nothing, and are dealt by their text
-    dealt = F.coalesce("own", F.pmod(F.xxhash64("text"), F.lit(1 << 30)).cast(texts.schema["own"].dataType))
-    flagged = texts.withColumn("dealt", dealt).join(
-        ids.withColumn("target", F.lit(1)), (F.col("dealt") == F.col("id")) & F.col("own").isNotNull(), "left")
-    grams = flagged.select(F.coalesce("target", F.lit(0)).alias("target"), words_of(F.col("text")).alias("w")) \
-        .select("target", F.explode(ngram_buckets(F.col("w"), buckets)).alias("bucket"))
-    counts = cut(grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("target").alias("target")))
+
+    def counted(rows: DataFrame, name: str) -> DataFrame:
+        words = rows.select(words_of(F.col("text")).alias("w"))  # a step of its own, so that each text is cut once
+        return words.select(F.explode(ngram_buckets(F.col("w"), buckets)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias(name))
+
+    present, bits = id_map(ids)
+    place = F.pmod(F.xxhash64("own"), F.lit(bits))
+    maybe = texts.where(F.col("own").isNotNull()).where(F.bit_get(F.get(present.scalar(), F.floor(place / 64).cast("int")), (place % 64).cast("int")) == 1)
+    target = maybe.join(ids.hint("merge"), F.col("own") == F.col("id"), "left_semi")
+    counts = cut(counted(texts, "raw").join(counted(target, "target"), "bucket", "left").select("bucket", "raw", F.coalesce("target", F.lit(0)).alias("target")))
     sums = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)).alias("r"), F.coalesce(F.sum("target"), F.lit(0)).alias("t")).first()
     p = F.col("raw") / F.lit(float(max(1, sums["r"])))
     weight = F.log((F.col("target") + prior * p) / (F.lit(float(sums["t"]) + prior) * p))
