@@ -5,7 +5,8 @@
    occurrences and its document frequency are weighted by its copies. A text that everything copies arrives
    once per map slice; beyond ``SALT_TASKS`` map tasks, each set of that many collapses on its own, so that no
    key gathers more (weights add up, so the counts are the same).
-2. Counts: summed per task, then per (language, source, term). Terms in ``min_docs`` documents of their language stay.
+2. Counts: summed per task, one row a term, then by one shuffle of (language, term). Terms in ``min_docs`` documents of
+   their language stay.
 3. Sparse pairs: absent terms have one proportion per source, so a pair starts from the value of a term absent
    on both sides times the vocabulary, and only the terms that either side has are evaluated, in cells of
    (language, share of its terms, block of sources, block of sources). A cell emits one sum per pair.
@@ -40,12 +41,13 @@ TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128
 
 SALT_TASKS = 1024
 #: Entries of a task's counts before they are passed on.
-MOST_ENTRIES = 400_000
-SHARD_ROWS = 500_000
+MOST_ENTRIES = 1_000_000
+#: Rows of one language in one share of its terms.
+SHARD_ROWS = 50_000
 BLOCK_SOURCES = 128
 
 COLLAPSED = "lang string, salt int, d1 long, d2 long, text string, sources array<string>, copies array<long>"
-COUNTS = "lang string, source string, term string, n long, df long"
+COUNTS = "lang string, term string, sources array<string>, n array<long>, n_all long, df long"
 
 
 def terms_of(text: bytes) -> list[bytes]:
@@ -71,37 +73,40 @@ def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of a task: occurrences by source, document frequencies with source null; equal texts follow each other."""
-    n: dict[tuple, Counter] = {}  # by language and source
-    df: dict[str, Counter] = {}
+    """For each language and term of a task: occurrences by source and in all, and documents; equal texts follow each other."""
+    found: dict[str, dict[bytes, dict]] = {}  # occurrences by source; under None the documents
+    entries = 0
 
     def flushed() -> Iterator[pa.RecordBatch]:
-        for (lang, source), own in [*n.items(), *(((lang, None), own) for lang, own in df.items())]:
-            for at in range(0, len(own), 50_000):
-                terms, values = list(own)[at:at + 50_000], np.fromiter(own.values(), np.int64, len(own))[at:at + 50_000]
-                zero = np.zeros(len(terms), np.int64)
+        nonlocal entries
+        for lang, terms in found.items():
+            names = list(terms)
+            for at in range(0, len(names), 20_000):
+                part = names[at:at + 20_000]
+                docs = [terms[t].pop(None) for t in part]
+                own = [terms[t] for t in part]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(terms), pa.string()), pa.array([source] * len(terms), pa.string()),
-                     pa.array(terms, pa.binary()).cast(pa.string()), pa.array(zero if source is None else values),
-                     pa.array(values if source is None else zero)], ["lang", "source", "term", "n", "df"])
-        n.clear()
-        df.clear()
+                    [pa.array([lang] * len(part), pa.string()), pa.array(part, pa.binary()).cast(pa.string()),
+                     pa.array([list(x) for x in own], pa.list_(pa.string())), pa.array([list(x.values()) for x in own], pa.list_(pa.int64())),
+                     pa.array([sum(x.values()) for x in own], pa.int64()), pa.array(docs, pa.int64())], ["lang", "term", "sources", "n", "n_all", "df"])
+        found.clear()
+        entries = 0
 
     def add(lang: str, text: str, copies: Counter) -> None:
-        words = terms_of(text.encode())
-        total = sum(copies.values())
-        if total == 1:
-            n.setdefault((lang, next(iter(copies))), Counter()).update(words)
-            df.setdefault(lang, Counter()).update(set(words))
-            return
-        own = Counter(words)
-        for source, k in copies.items():
-            to = n.setdefault((lang, source), Counter())
-            for w, c in own.items():
-                to[w] += c * k
-        to = df.setdefault(lang, Counter())
-        for w in own:
-            to[w] += total
+        nonlocal entries
+        terms, total = found.setdefault(lang, {}), sum(copies.values())
+        for w, c in Counter(terms_of(text.encode())).items():
+            own = terms.get(w)
+            if own is None:
+                own = terms[w] = {None: 0}
+                entries += 2
+            own[None] += total
+            for source, k in copies.items():
+                if source in own:
+                    own[source] += c * k
+                else:
+                    own[source] = c * k
+                    entries += 1
 
     held: tuple | None = None  # language, text, copies
     for b in slices(batches, "text", 8 << 20):
@@ -111,19 +116,24 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             if held:
                 add(*held)
+            if entries > MOST_ENTRIES:
+                yield from flushed()
             held = (lang, text, Counter(dict(zip(sources, copies))))
-        if sum(map(len, n.values())) + sum(map(len, df.values())) > MOST_ENTRIES:
-            yield from flushed()
     if held:
         add(*held)
     yield from flushed()
 
 
-def term_counts(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """lang, source, term, n, df: occurrences by source, and rows of source null with document frequencies by language."""
+def term_counts(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_docs: int = 10) -> DataFrame:
+    """lang, term, n_lang, source, n: occurrences in the language and in each of its sources that has the term, for terms of ``min_docs`` documents."""
     rows = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in ((text_col, "text"), (lang_col, "lang"), (source_col, "source"))])
     dealt = rows.mapInArrow(_collapse, COLLAPSED).repartition("lang", "salt", "d1", "d2").sortWithinPartitions("d1", "d2", "lang")
-    return dealt.mapInArrow(_count, COUNTS).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+    # a term has a row for each task; one shuffle serves its document frequency and its counts by source
+    own = Window.partitionBy("lang", "term")
+    counted = dealt.mapInArrow(_count, COUNTS).repartition("lang", "term").withColumns({"df": F.sum("df").over(own), "n_lang": F.sum("n_all").over(own)}) \
+        .where(F.col("df") >= min_docs)
+    return counted.select("lang", "term", "n_lang", F.explode(F.arrays_zip("sources", "n")).alias("x")) \
+        .groupBy("lang", "term", "n_lang", F.col("x.sources").alias("source")).agg(F.sum("x.n").alias("n"))
 
 
 def proportion(count: Column, total: Column, vocabulary: Column) -> Column:
@@ -178,9 +188,7 @@ def _pair_sums(cell: pa.Table) -> pa.Table:
 def audit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_docs: int = 10,
           top_terms: int = 10) -> DataFrame:
     """lang, source, part ('pair' or 'term'), item, value, rank."""
-    counts = stored(term_counts(docs, text_col=text_col, lang_col=lang_col, source_col=source_col))
-    kept = counts.groupBy("lang", "term").agg(F.sum("df").alias("df"), F.sum("n").alias("n_lang")).where(F.col("df") >= min_docs)
-    found = stored(counts.where("source is not null").join(kept.select("lang", "term", "n_lang"), ["lang", "term"]))
+    found = stored(term_counts(docs, text_col=text_col, lang_col=lang_col, source_col=source_col, min_docs=min_docs))
     # one row a language and one a group: totals and vocabulary
     langs = found.select("lang", "term", "n_lang").distinct().groupBy("lang").agg(F.count("*").alias("v"), F.sum("n_lang").alias("total_lang"))
     sums = found.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("held"))
