@@ -95,7 +95,7 @@ def prep_peaks(spark, sf):
 
 @query
 def centroid_orders(spark, sf):
-    """Anchor-greedy centroiding of order spectra (1000 ppm makes close peaks merge)."""
+    """Anchor-greedy centroiding of order spectra (line numbers of one part lie within 20 ppm and merge)."""
     p = Params(centroid_ppm=20.0, noise_thr=0.0)
     o = V.order_raw(spark, sf).withColumn("frag", P.prep_peaks(F.col("peaks"), p))
     return o.select(F.col("pos").alias("id"), F.size("peaks").alias("n_raw"), F.size("frag").alias("n"),
@@ -654,6 +654,20 @@ def density_clusters(spark, sf):
     return x.select(F.col("pos").alias("id"), "cluster")
 
 
+@query
+def density_clusters_hard(spark, sf):
+    """Density clusters at the standard cut, with the RI window as a hard penalty."""
+    p = Params(distance_method="cosine", ri_mode_cluster="hard", ri_window_hard=40.0)
+    return CL.cluster_density(grid(spark, sf), p, min_pts=3, fragment_only=True).select(F.col("pos").alias("id"), "cluster")
+
+
+@query
+def density_clusters_soft(spark, sf):
+    """Density clusters at a second cut, with similarities that fall off with the RI gap."""
+    p = Params(distance_method="cosine", ri_mode_cluster="soft", ri_sigma=60.0)
+    return CL.cluster_density(grid(spark, sf), p, eps=0.4, min_pts=4, fragment_only=True).select(F.col("pos").alias("id"), "cluster")
+
+
 @query
 def core_spectra(spark, sf):
     """Core flag of density clustering: neighbours within the cut, self included."""

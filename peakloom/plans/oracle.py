@@ -64,6 +64,21 @@ def pair_cosine(name, rel, self_pairs=False):
 """
 
 
+def density(eps: float, least: int, penalty: str = "1.0"):
+    """Clusters of core spectra and their borders; ``penalty`` weighs the similarity of a and b (meta rows)."""
+    return f"""WITH RECURSIVE {GRID}, {pair_cosine('d0', 'f')},
+d AS (SELECT q, l, round(1 - (1 - greatest(0, least(1, d))) * {penalty}, 13) AS d FROM d0 JOIN meta a ON q = a.vec_id JOIN meta b ON l = b.vec_id),
+near AS (SELECT q, l, d FROM d WHERE d <= {eps}),
+core AS (SELECT vec_id AS id FROM meta LEFT JOIN near ON q = vec_id GROUP BY 1 HAVING count(l) + 1 >= {least}),
+link AS (SELECT q, l FROM near WHERE q IN (SELECT id FROM core) AND l IN (SELECT id FROM core)),
+reach AS (SELECT id AS a, id AS b FROM core UNION SELECT a, l FROM reach JOIN link ON b = q),
+grp AS (SELECT a AS id, min(b) AS g FROM reach GROUP BY 1),
+member AS (SELECT * FROM grp UNION ALL SELECT q, g FROM (SELECT q, l, row_number() OVER (PARTITION BY q ORDER BY d, l) AS r FROM near
+    WHERE q NOT IN (SELECT id FROM core) AND l IN (SELECT id FROM core)) JOIN grp ON l = grp.id WHERE r = 1),
+names AS (SELECT g, row_number() OVER (ORDER BY min(id)) AS n FROM member GROUP BY g)
+SELECT vec_id AS id, coalesce(CAST(n AS VARCHAR), '0') AS cluster FROM meta LEFT JOIN member ON vec_id = member.id LEFT JOIN names USING (g)"""
+
+
 COMBINED = pair_cosine("df", "f") + "," + pair_cosine("dl", "loss") + """,
 dd AS (SELECT df.q, df.l, df.d AS d_frag, dl.d AS d_loss, sqrt(0.7 * df.d * df.d + 0.3 * dl.d * dl.d) AS d FROM df JOIN dl ON df.q = dl.q AND df.l = dl.l)
 """
@@ -348,6 +363,9 @@ def all_sql() -> dict:
         f AS (SELECT om.id AS q, h.id AS l, 1.0 AS d FROM om, (SELECT id FROM om ORDER BY id LIMIT 10) h WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.q = om.id AND d.l = h.id)),
         z AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, l) AS rank FROM (SELECT * FROM d UNION ALL SELECT * FROM f))
         SELECT q AS query_id, CAST(rank AS BIGINT) AS rank, l AS library_id, {r6('d', 'distance')} FROM z WHERE rank <= 5"""
+    sql["density_clusters"] = density(0.28, 3)
+    sql["density_clusters_hard"] = density(0.73, 3, "CASE WHEN abs(a.ri - b.ri) > 40 THEN 0.0 ELSE 1.0 END")
+    sql["density_clusters_soft"] = density(0.4, 4, "exp(-pow((a.ri - b.ri) / 60.0, 2))")
     sql["smeared_bins"] = f"""WITH {GRID}, b AS (SELECT vec_id, least(greatest(floor(ln(mz / 35.0) / ln(1 + 2e-6) + 0.5) + 1, 1), {_n_bins() - 1}) AS b FROM f)
         SELECT vec_id AS id, count(*) * 21 AS n_bins, 1.0::DOUBLE AS total, CAST(min(b) - 10 AS BIGINT) AS first_bin, CAST(max(b) + 10 AS BIGINT) AS last_bin FROM b GROUP BY 1"""
     gates = [("after_precursor", "TRUE"), ("after_ion_mode", "a.mode = b.mode"), ("after_adduct", "a.adduct = b.adduct"), ("after_rt", "abs(a.rt - b.rt) <= 600"),

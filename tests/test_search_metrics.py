@@ -300,6 +300,22 @@ def test_density_clusters(spark):
     assert got == {"a1": "1", "a2": "1", "a3": "1", "b1": "2", "b2": "2", "b3": "2", "n": "0"}
 
 
+def test_density_clusters_with_ri_penalty(spark):
+    rows = [(f"a{i}", [(50, 1), (60, .1 * i)]) for i in range(6)]
+    df = make_spectra(spark, rows).withColumn("frag", P.tic_normalize(F.col("peaks")))
+    far = df.withColumn("ri", F.when(F.col("pos") < 3, 1000.0).when(F.col("pos") < 5, 1200.0).cast("double"))
+    of = lambda x, p: [r["cluster"] for r in CL.cluster_density(x, p, .3, 2, True).orderBy("pos").collect()]
+    hard, soft = COS.with_(ri_mode_cluster="hard"), COS.with_(ri_mode_cluster="soft")
+    assert of(far, COS) == ["1"] * 6
+    split = far.filter("pos < 5")  # a missing index is no penalty, so the last spectrum would join both halves
+    assert of(split, hard) == of(split, soft) == ["1", "1", "1", "2", "2"] and of(far, hard) == ["1"] * 6
+    assert of(df, hard) == ["1"] * 6
+    with pytest.raises(ValueError):
+        CL.cluster_density(df, COS, min_pts=7)
+    with pytest.raises(ValueError):
+        CL.cluster_density(df.limit(1), COS)
+
+
 # --- statistics -------------------------------------------------------------------------
 
 def test_statistics(spark):
