@@ -298,8 +298,14 @@ def scored_pairs(spectra: DataFrame, p, key: str = "inchikey", chars: int = 14,
     return block_apply(q, lib, reduce_cell, schema, cell, upper_only=one_way)
 
 
-def auc_roc(pairs: DataFrame, transform: str = "linear", scale=None) -> DataFrame:
-    """AUC of same-key pairs; takes scored_pairs or a table with attached keys."""
+def auc_roc(pairs: DataFrame, transform: str = "linear", scale=None, n_spectra: int | None = None) -> DataFrame:
+    """AUC of same-key pairs; takes scored_pairs or a table with attached keys.
+
+    ``n_spectra`` is the size of the set, spectra without key included; below 3 there is no AUC and no pair counts.
+    """
+    if n_spectra is not None and n_spectra < 3:
+        return pairs.sparkSession.range(1).select(F.lit(None).cast("double").alias("auc"), F.lit(0).cast("long").alias("n_positive"),
+                                                  F.lit(0).cast("long").alias("n_negative"))
     x = to_similarity(pairs, transform, scale) if "positive" in pairs.columns else unordered_pairs(pairs, transform, scale)
     return rank_auc(x, "similarity")
 

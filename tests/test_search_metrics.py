@@ -316,6 +316,12 @@ def test_density_clusters_with_ri_penalty(spark):
         CL.cluster_density(df.limit(1), COS)
 
 
+def test_no_auc_below_three_spectra(spark):
+    rows = spark.createDataFrame([(0, 1, 0.2, True)], "q_pos long, l_pos long, distance double, positive boolean")
+    assert tuple(M.auc_roc(rows, n_spectra=2).first()) == (None, 0, 0)
+    assert tuple(M.auc_roc(rows, n_spectra=3).first()) == (None, 1, 0)
+
+
 # --- statistics -------------------------------------------------------------------------
 
 def test_statistics(spark):
