@@ -30,23 +30,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import cut, hot_join, slices
+from .common import cut, free_names, hot_join, slices
 
 CUTS = {"line": r"(?<=\n)", "paragraph": r"(?<=\n\n)", "sentence": r"(?<=\n)|(?<=[.!?] )"}
 
 
-def parts_of(text: str, pattern: re.Pattern) -> list[tuple[int, int, list[str]]]:
-    """Start, end and words of every unit that has words."""
+BLANKS = " \t\n\x0b\f\r"
+
+
+def parts_of(text: str, pattern: re.Pattern) -> list[tuple[int, int, list[bytes]]]:
+    """Start, end and words of every unit that has words; bytes split at BLANKS only, and not at other white space."""
     out, at = [], 0
     for part in pattern.split(text):
-        words = part.split()
+        words = part.encode().split()
         if words:
             out.append((at, at + len(part), words))
         at += len(part)
     return out
 
 
-def runs(parts: list[tuple[int, int, list[str]]], min_words: int) -> Iterator[tuple[int, int, list[str]]]:
+def runs(parts: list[tuple[int, int, list[bytes]]], min_words: int) -> Iterator[tuple[int, int, list[bytes]]]:
     """For each part of fewer than ``min_words`` words, the shortest runs of parts with that many that begin and end with it."""
     for i, (_, _, words) in enumerate(parts):
         if len(words) < min_words:
@@ -65,7 +68,7 @@ def units(docs: DataFrame, unit: str, min_words: int, whole: bool = False) -> Da
     pattern = re.compile(CUTS[unit])
     larger = [re.compile(CUTS[c]) for c in ("line", "paragraph") if c != unit] if whole else []
 
-    def pieces(text: str) -> Iterator[tuple[int, int, list[str]]]:
+    def pieces(text: str) -> Iterator[tuple[int, int, list[bytes]]]:
         fine = parts_of(text, pattern)
         yield from (p for p in fine if len(p[2]) >= min_words)
         if whole:
@@ -80,14 +83,14 @@ def units(docs: DataFrame, unit: str, min_words: int, whole: bool = False) -> Da
                 seen = set()
                 for at, stop, words in pieces(text or ""):
                     if whole:  # one piece of words is counted once, by whatever cuts it is found
-                        place = (at + len(text[at:stop]) - len(text[at:stop].lstrip()), len(words))
+                        place = (at + len(text[at:stop]) - len(text[at:stop].lstrip(BLANKS)), len(words))
                         if place in seen:
                             continue
                         seen.add(place)
                     row.append(i)
                     start.append(at)
                     end.append(stop)
-                    digests.append(hashlib.md5(" ".join(words).lower().encode("utf-8", "surrogatepass")).digest())
+                    digests.append(hashlib.md5(b" ".join(words).decode().lower().encode()).digest())
             d = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
             take = pa.array(row, pa.int32())
             yield pa.RecordBatch.from_arrays(
@@ -139,12 +142,13 @@ def flat(removed: Column) -> Column:
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", unit: str = "sentence", min_words: int = 8,
           removed_col: str | None = None, whole: bool = False) -> DataFrame:
     """``docs`` with repeated units cut out of the text; ``removed_col`` names a column for their original offsets."""
+    key, own, h, removed = free_names(docs, "__key", "__id", "__h", "__removed")
     gone = repeats(docs, id_col=id_col, text_col=text_col, unit=unit, min_words=min_words, whole=whole) \
-        .select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("removed").alias("__removed"))
-    key = docs.withColumn("__key", F.xxhash64(text_col))
-    both = key.join(gone, key[id_col].cast("long").eqNullSafe(gone["__id"]) & (key["__key"] == gone["__h"]), "left")
-    new = both.withColumn(text_col, without(F.col(text_col), flat(F.col("__removed"))))
-    return new.select(*docs.columns, *([F.col("__removed").alias(removed_col)] if removed_col else []))
+        .select(F.col("id").alias(own), F.col("h").alias(h), F.col("removed").alias(removed))
+    keyed = docs.withColumn(key, F.xxhash64(text_col))
+    both = keyed.join(gone, keyed[id_col].cast("long").eqNullSafe(gone[own]) & (keyed[key] == gone[h]), "left")
+    new = both.withColumn(text_col, without(F.col(text_col), flat(F.col(removed))))
+    return new.select(*docs.columns, *([F.col(removed).alias(removed_col)] if removed_col else []))
 
 
 def op7_unit_dedup(spark, sf_dir: str) -> DataFrame:
