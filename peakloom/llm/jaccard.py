@@ -4,8 +4,8 @@ A document's set is its distinct shingles. Two documents link when their Jaccard
 ``num`` / ``den``. Steps, each over all documents:
 
 1. sets: every text gives its set size and a 128-bit digest; documents of equal sets are one class,
-   and the class is what is compared. The same pass adds up bounded sketches of how many documents
-   hold a shingle, so that global orders can put rare shingles first.
+   and the class is what is compared. The same pass adds up a bounded array of counters of how many
+   documents hold a shingle, so that global orders can put rare shingles first.
 2. prefixes: a linked pair shares a shingle among the first n - ceil(t n) + 1 of both sets, under any
    global order. Under the first order the prefixes are dealt out by shingle and classes that share one,
    with sizes within the bound, become candidates. A shingle of many classes gives a star around its
@@ -40,9 +40,10 @@ from pyspark.sql import functions as F
 from .common import hot_join, mixed, shingles, shuffle_width, slices, stored, text_bytes
 from .graph import components
 
-SKETCH = 1 << 20  #: counters a sketch; bounded whatever the corpus
+SKETCH = 1 << 23  #: counters of shingles; bounded whatever the corpus
 CHUNK = 1 << 14
 ORDERS = 3
+STEPS = 16  #: levels an octave of the counts
 FEW = 4  #: classes that share a shingle are paired directly up to this number, by stars and cells beyond
 _ENTRY = np.dtype([("t", "<u4"), ("c", "<i8"), ("s", "u1")])
 
@@ -64,15 +65,17 @@ def digest(own: np.ndarray) -> tuple[int, int]:
     return int(mixed(np.array([a]))[0].astype(np.int64)), int(mixed(np.array([b]))[0].astype(np.int64))
 
 
-def _slot(own: np.ndarray, order: int) -> np.ndarray:
-    """Which counter of an order's sketch a shingle belongs to."""
-    return ((own >> np.uint64(1 + 20 * (order % 2))) & np.uint64(SKETCH - 1)).astype(np.int64)
+def _slot(own: np.ndarray) -> np.ndarray:
+    """Which counter a shingle belongs to."""
+    return ((own >> np.uint64(1)) & np.uint64(SKETCH - 1)).astype(np.int64)
 
 
 def keys(own: np.ndarray, levels: np.ndarray, order: int) -> np.ndarray:
-    """Place of each shingle in a global order: rare levels first, then by a hash of that order."""
-    tie = own if order == 0 else mixed(own + np.uint64(0x9E3779B97F4A7C15 * order & (1 << 64) - 1))
-    level = levels[order % 2][_slot(own, order)].astype(np.uint64)
+    """Place of each shingle in a global order: rare levels first (the further orders see octaves only), then by a hash of that order."""
+    level = levels[_slot(own)].astype(np.uint64)
+    tie = own
+    if order:
+        tie, level = mixed(own + np.uint64(0x9E3779B97F4A7C15 * order & (1 << 64) - 1)), level // np.uint64(STEPS)
     return (level << np.uint64(56)) | (tie >> np.uint64(8))
 
 
@@ -96,11 +99,16 @@ def _summed(chunks: DataFrame, finish) -> DataFrame:
         for k, v in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([finish(v).tobytes()])], ["chunk", "counts"])
 
-    return chunks.repartition(min(2 * SKETCH // CHUNK, 4 * shuffle_width(chunks.sparkSession)), "chunk").mapInArrow(add, "chunk int, counts binary")
+    return chunks.repartition(min(SKETCH // CHUNK, 4 * shuffle_width(chunks.sparkSession)), "chunk").mapInArrow(add, "chunk int, counts binary")
 
 
 def _level(counts: np.ndarray) -> np.ndarray:
-    return np.minimum(np.round(4 * np.log2(counts + 1.0)), 255).astype(np.uint8)
+    return np.round(STEPS * np.log2(counts + 1.0)).astype("<u2")
+
+
+def _narrow(levels: np.ndarray) -> np.ndarray:
+    """Levels in a byte: from four octaves below the middle counter to twelve above it."""
+    return np.clip(levels.astype(np.int32) - max(0, int(np.median(levels)) - 4 * STEPS), 0, 255).astype(np.uint8)
 
 
 def _present(counts: np.ndarray) -> np.ndarray:
@@ -120,10 +128,10 @@ def folded(data: np.ndarray, size: int) -> np.ndarray:
 
 
 def classes(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n, c, c2, sketch) of every row, and the level of each sketch counter for two orders."""
+    """(doc_id, n, c, c2, sketch) of every row, and the level of each counter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.zeros((2, SKETCH), np.uint32)
+        counters = np.zeros(SKETCH, np.uint32)
         names = ["doc_id", "n", "c", "c2", "sketch", "chunk", "counts"]
         for b in slices(batches, "text"):
             n, one, two, odd, seen = [], [], [], [], []
@@ -134,9 +142,7 @@ def classes(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
                 two.append(c)
                 odd.append(sketch(own).tobytes() if len(own) else None)
                 seen.append(own)
-            every = np.concatenate(seen)
-            for order in range(2):
-                counters[order] += np.bincount(_slot(every, order), minlength=SKETCH).astype(np.uint32)
+            np.add.at(counters, _slot(np.concatenate(seen)), np.uint32(1))
             none = [None] * b.num_rows
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(odd, pa.binary()),
@@ -148,10 +154,10 @@ def classes(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
             [none, none, none, none, pa.array([None] * len(used), pa.binary()), pa.array(used, pa.int32()), pa.array([zlib.compress(parts[i].astype("<u4").tobytes(), 1) for i in used], pa.binary())], names)
 
     both = stored(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, c long, c2 long, sketch binary, chunk int, counts binary"))
-    levels = np.zeros((2, SKETCH), np.uint8)
+    levels = np.zeros(SKETCH, "<u2")
     for r in _summed(both.where("chunk is not null").select("chunk", "counts"), _level).collect():  # 2 * SKETCH bytes
-        levels.reshape(-1, CHUNK)[r["chunk"]] = np.frombuffer(r["counts"], np.uint8)
-    return both.where("chunk is null").select("doc_id", "n", "c", "c2", "sketch"), levels
+        levels.reshape(-1, CHUNK)[r["chunk"]] = np.frombuffer(r["counts"], "<u2")
+    return both.where("chunk is null").select("doc_id", "n", "c", "c2", "sketch"), _narrow(levels)
 
 
 def _size_step(n: int, num: int, den: int) -> int:

@@ -260,7 +260,7 @@ def test_jaccard_join(spark, few):
 def test_cell_links(seed):
     """The links of a cell join what all links join, inside one block and between two."""
     rng = np.random.default_rng(seed)
-    levels = np.zeros((2, jaccard.SKETCH), np.uint8)
+    levels = np.zeros(jaccard.SKETCH, np.uint8)
     base = rng.integers(0, 1 << 63, 40 * (seed + 1)).astype(np.uint64)
     sets = [np.unique(np.concatenate((base[rng.random(len(base)) < rng.uniform(.7, 1)], rng.integers(0, 1 << 63, 4).astype(np.uint64))))
             for _ in range(50)]
