@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.peaks import is_finite
 from .blocks import Scorer, block_apply, sides
+from .ties import chance_within, expected_reciprocal, first_relevant, harmonic
 
 # --- fixed values: default report settings ---
 K_VALUES = (1, 5, 10, 20)
@@ -344,39 +345,16 @@ def tie_aware_queries(ranked: DataFrame, k_values=(1, 5, 10)) -> DataFrame:
     ``size`` entries and ``hits`` relevant ones.  Optimistic counts it first,
     pessimistic last, fractional averages over random orders of the block.
     """
-    blocks = ranked.groupBy("q_pos", "distance").agg(F.count("*").alias("size"),
-                                                     F.count_if("relevant").alias("hits"))
-    w = Window.partitionBy("q_pos").orderBy("distance").rowsBetween(Window.unboundedPreceding, -1)
-    b = blocks.withColumn("before", F.coalesce(F.sum("size").over(w), F.lit(0)))
-    first = b.filter("hits > 0").groupBy("q_pos").agg(
-        F.min_by(F.struct("before", "size", "hits"), "distance").alias("f")).select("q_pos", "f.*")
-    best = F.col("before") + 1
-    worst = F.col("before") + F.col("size") - F.col("hits") + 1
-    # chance that the first relevant of the block sits at offset r (0-based)
-    probs = F.transform(F.sequence(F.lit(0), (F.col("size") - F.col("hits")).cast("int")), lambda r: F.struct(
-        r.alias("r"), _chance_first_at(r, F.col("size"), F.col("hits")).alias("p")))
-    x = first.withColumn("_p", probs)
-
-    def expect(value):
-        return F.aggregate("_p", F.lit(0.0), lambda a, e: a + e["p"] * value(e["r"]))
-
+    before, size, hits = F.col("before"), F.col("size"), F.col("hits")
+    best, worst = before + 1, before + size - hits + 1
     cols = [F.col("q_pos"), best.alias("best_rank"), worst.alias("worst_rank"),
             (1.0 / best).alias("rr_optimistic"), (1.0 / worst).alias("rr_pessimistic"),
-            expect(lambda r: 1.0 / (F.col("before") + r + 1)).alias("rr_fractional")]
+            expected_reciprocal(before, size, hits).alias("rr_fractional")]
     for k in k_values:
         cols += [(best <= k).cast("double").alias(f"top{k}_optimistic"),
                  (worst <= k).cast("double").alias(f"top{k}_pessimistic"),
-                 expect(lambda r, k=k: (F.col("before") + r + 1 <= k).cast("double")).alias(f"top{k}_fractional")]
-    return x.select(*cols)
-
-
-def _chance_first_at(r, n, h):
-    """P(first of h relevant among n shuffled entries is at offset r):
-    h/(n-r) * prod_{i<r} (n-h-i)/(n-i)."""
-    none_before = F.aggregate(
-        F.when(r > 0, F.sequence(F.lit(0), (r - 1).cast("int"))).otherwise(F.array().cast("array<int>")),
-        F.lit(1.0), lambda acc, i: acc * (n - h - i) / (n - i))
-    return none_before * h / (n - r)
+                 chance_within(k, before, size, hits).alias(f"top{k}_fractional")]
+    return first_relevant(ranked).select(*cols)
 
 
 def tie_aware_precision(ranked: DataFrame, n_relevant: DataFrame | None = None, k_values=(1, 5, 10)) -> DataFrame:
@@ -390,11 +368,10 @@ def tie_aware_precision(ranked: DataFrame, n_relevant: DataFrame | None = None,
     w = Window.partitionBy("q_pos").orderBy("distance").rowsBetween(Window.unboundedPreceding, -1)
     b = blocks.withColumns({"before": F.coalesce(F.sum("n").over(w), F.lit(0)),
                             "rel_before": F.coalesce(F.sum("h").over(w), F.lit(0))})
-    steps = F.sequence(F.lit(1), F.col("n").cast("int"))
     other = F.when(F.col("n") > 1, (F.col("h") - 1) / (F.col("n") - 1)).otherwise(0.0)
-    ap = F.aggregate(F.transform(steps, lambda j: (F.col("h") / F.col("n"))
-                                 * (F.col("rel_before") + 1 + (j - 1) * other) / (F.col("before") + j)),
-                     F.lit(0.0), lambda a, v: a + v)
+    # (rel_before + 1 + (j - 1) other) / (before + j) is other + rest / (before + j)
+    rest = F.col("rel_before") + 1 - other * (F.col("before") + 1)
+    ap = F.col("h") * other + F.col("h") / F.col("n") * rest * harmonic(F.col("before"), F.col("n"))
     inside = {k: F.greatest(F.lit(0), F.least(F.col("n"), F.lit(k) - F.col("before"))) for k in k_values}
     per = b.withColumn("_ap", F.when(F.col("h") > 0, ap).otherwise(0.0)).groupBy("q_pos").agg(
         F.sum("_ap").alias("_ap"), F.sum("h").alias("_h"), F.sum("n").alias("_n"),
@@ -426,8 +403,7 @@ def single_target_metrics(ranked: DataFrame, targets: DataFrame) -> DataFrame:
         F.count_if(F.col("distance") < F.col("own")).alias("closer"),
         F.count_if(F.col("distance") == F.col("own")).alias("tied"))
     best, ties = F.col("closer") + 1, F.col("tied")
-    rr = F.aggregate(F.sequence(F.lit(0), (ties - 1).cast("int")), F.lit(0.0),
-                     lambda a, i: a + 1.0 / (best + i)) / ties
+    rr = harmonic(F.col("closer"), ties) / ties
     ok = F.col("finite") & (ties > 0)
     return c.select("q_pos", F.when(ok, best).alias("best_rank"),
                     F.when(ok, best + ties - 1).alias("worst_rank"),

@@ -22,6 +22,7 @@ from ..operators import similarity as SI
 from ..operators import sparse as SP
 from ..operators import spectra as SB
 from ..operators import stats as ST
+from ..operators import ties as TI
 from ..operators.blocks import Scorer, nearest
 from ..params import LCSearchPlan, Params, lc_default_params
 from ..sources import msdial as MD
@@ -880,6 +881,23 @@ def tie_diagnostics(spark, sf):
     return M.tie_diagnostics(event_lists(spark, sf))
 
 
+def coarse_lists(spark, sf):
+    """The same lists with purchases and clicks relevant."""
+    e = V.scored_events(spark, sf)
+    return e.select(F.col("user_id").alias("q_pos"), F.floor(F.col("score") / 5000).cast("double").alias("distance"),
+                    F.col("event_type").isin("purchase", "click").alias("relevant"))
+
+
+@query
+def tie_sensitivity(spark, sf):
+    return TI.tie_sensitivity(event_lists(spark, sf), coarse_lists(spark, sf))
+
+
+@query
+def tie_effects(spark, sf):
+    return TI.tie_effects(event_lists(spark, sf), coarse_lists(spark, sf))
+
+
 @query
 def single_target(spark, sf):
     x = event_lists(spark, sf)

@@ -483,6 +483,26 @@ def all_sql() -> dict:
         x AS (SELECT q, before, n, h, unnest(generate_series(0, CAST(n - h AS BIGINT))) AS r FROM f1)
         SELECT q AS q_pos, CAST(max(before + 1) AS BIGINT) AS best_rank, CAST(max(before + n - h + 1) AS BIGINT) AS worst_rank, {r6('max(1.0::DOUBLE / (before + 1))', 'rr_optimistic')}, {r6('max(1.0::DOUBLE / (before + n - h + 1))', 'rr_pessimistic')},
         {r6(f'sum({chance} / (before + r + 1))', 'rr_fractional')}, {tops} FROM x GROUP BY 1"""
+    coarse = """, blk2 AS (SELECT user_id AS q, floor(CAST(round(value * 100) AS BIGINT) / 5000.0) AS d, count(*) AS n, count(*) FILTER (event_type IN ('purchase', 'click')) AS h FROM events GROUP BY 1, 2),
+        runs2 AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY q ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM blk2)"""
+    per = f"""f1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d) AS rn FROM runs WHERE h > 0) WHERE rn = 1),
+        f2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d) AS rn FROM runs2 WHERE h > 0) WHERE rn = 1)"""
+    policies = []
+    for metric, table, k in (("top1", "f1", 1), ("top5", "f1", 5), ("top10", "f1", 10), ("p_at_1", "f2", 1)):
+        policies += [(metric, "optimistic", table, f"(before + 1 <= {k})::INT"), (metric, "pessimistic", table, f"(before + n - h + 1 <= {k})::INT"),
+                     (metric, "fractional", table, f"list_sum([{chance} * (before + r + 1 <= {k})::INT for r in generate_series(0, CAST(n - h AS BIGINT))])")]
+    policies += [("mrr", "optimistic", "f1", "1.0::DOUBLE / (before + 1)"), ("mrr", "pessimistic", "f1", "1.0::DOUBLE / (before + n - h + 1)"),
+                 ("mrr", "fractional", "f1", f"list_sum([{chance} / (before + r + 1) for r in generate_series(0, CAST(n - h AS BIGINT))])")]
+    sql["tie_sensitivity"] = f"WITH {EVENTS}{coarse}, {per} " + " UNION ALL ".join(
+        f"SELECT '{m}' AS metric, '{p}' AS tie_policy, {r6(f'avg({v})', 'estimate')}, count(*) AS n_queries FROM {t}" for m, p, t, v in policies)
+    sql["tie_effects"] = f"WITH {EVENTS}{coarse}, {per} " + " UNION ALL ".join(
+        f"""SELECT '{level}' AS identity_level, '{m}' AS metric, {k}::BIGINT AS cutoff, count(*) AS n_queries_evaluated, count(*) FILTER (n > 1) AS n_with_relevant_tie,
+        {r6('count(*) FILTER (n > 1)::DOUBLE / count(*)', 'proportion_with_relevant_tie')}, count(*) FILTER (before < {k} AND before + n > {k}) AS n_tie_blocks_crossing_cutoff,
+        count(*) FILTER ({a}) AS n_optimistic_pessimistic_crossings, count(*) FILTER ({a}) AS n_affected, {r6(f'count(*) FILTER ({a})::DOUBLE / count(*)', 'proportion_affected')},
+        count(*) FILTER (n > 1 AND NOT ({a})) AS n_tied_not_affected, 'n_better < cutoff and n_better + tie_size > cutoff' AS tie_block_crossing_definition,
+        'optimistic_hit_differs_from_pessimistic_hit_at_cutoff; tie_size_greater_than_1_alone_is_not_affected' AS affected_definition FROM {t}"""
+        for level, m, t, k in (("fine", "top1", "f1", 1), ("fine", "top5", "f1", 5), ("fine", "top10", "f1", 10), ("coarse", "p_at_1", "f2", 1))
+        for a in [f"(before + 1 <= {k}) <> (before + n - h + 1 <= {k})"])
     inside = {k: f"greatest(0, least(n, {k} - before))" for k in (1, 5, 10)}
     sql["tie_aware_precision"] = f"""WITH {EVENTS}, x AS (SELECT *, unnest(generate_series(1, CAST(n AS BIGINT))) AS j FROM runs),
         ap AS (SELECT q, sum(CASE WHEN h > 0 THEN h::DOUBLE / n * (rel_before + 1 + (j - 1) * CASE WHEN n > 1 THEN (h - 1)::DOUBLE / (n - 1) ELSE 0 END) / (before + j) END) AS s FROM x GROUP BY 1),
