@@ -12,6 +12,7 @@ from ..operators import bin_index as BI
 from ..operators import clustering as CL
 from ..operators import deriv as DV
 from ..operators import explain as X
+from ..operators import layout as LO
 from ..operators import lc as LC
 from ..operators import metrics as M
 from ..operators import noise as N
@@ -687,7 +688,21 @@ def connected_orders(spark, sf):
 
 @query
 def embedding_coordinates(spark, sf):
-    return CL.landmark_coordinates(grid(spark, sf), Params(distance_method="cosine"), fragment_only=True).select(F.col("pos").alias("id"), "V1", "V2")
+    """Two coordinates per spectrum from the neighbour graph of all spectra."""
+    return LO.embed(grid(spark, sf), Params(distance_method="cosine"), fragment_only=True).select(F.col("pos").alias("id"), "V1", "V2")
+
+
+@query
+def neighbour_graph(spark, sf):
+    """Membership strengths of the fuzzy neighbour graph, each edge in both directions."""
+    return LO.neighbour_graph(grid(spark, sf), Params(distance_method="cosine"), fragment_only=True)
+
+
+@query
+def neighbour_graph_soft(spark, sf):
+    """The same graph with six neighbours and similarities that fall off with the RI gap."""
+    p = Params(distance_method="cosine", ri_mode_cluster="soft", ri_sigma=60.0)
+    return LO.neighbour_graph(grid(spark, sf), p, n_neighbors=6, fragment_only=True)
 
 
 @query

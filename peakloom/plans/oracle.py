@@ -64,6 +64,23 @@ def pair_cosine(name, rel, self_pairs=False):
 """
 
 
+def fuzzy_graph(n_neighbors: int, penalty: str = "1.0"):
+    """Fuzzy union of the strengths that spectra give their nearest; scales by bisection; ``penalty`` as in ``density``."""
+    return f"""WITH RECURSIVE {GRID}, {pair_cosine('d0', 'f')},
+d AS (SELECT q, l, round(1 - (1 - greatest(0, least(1, round(d, 13)))) * {penalty}, 13) AS d FROM d0 JOIN meta a ON q = a.vec_id JOIN meta b ON l = b.vec_id),
+nn AS (SELECT q, l, d FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, l) AS rn FROM d) WHERE rn < {n_neighbors}),
+rh AS (SELECT q, coalesce(min(d) FILTER (d > 0), 0) AS rho, avg(d) AS mean FROM nn GROUP BY 1),
+gp AS (SELECT nn.q, l, greatest(d - rho, 0) AS gap, mean FROM nn JOIN rh ON nn.q = rh.q),
+gl AS (SELECT q, list(gap) AS gaps, any_value(mean) AS mean FROM gp GROUP BY 1),
+bis AS (SELECT q, gaps, mean, -20e0 AS lo, 20e0 AS hi, 0 AS step FROM gl
+    UNION ALL SELECT q, gaps, mean, CASE WHEN over THEN lo ELSE (lo + hi) / 2 END, CASE WHEN over THEN (lo + hi) / 2 ELSE hi END, step + 1
+    FROM (SELECT *, list_sum(list_transform(gaps, lambda x: exp(-x / pow(2e0, (lo + hi) / 2)))) > log2({n_neighbors}e0) AS over FROM bis WHERE step < 48)),
+sc AS (SELECT q, greatest(pow(2e0, (lo + hi) / 2), 1e-3 * mean) AS scale FROM bis WHERE step = 48),
+st AS (SELECT gp.q, l, exp(-gap / scale) AS w FROM gp JOIN sc ON gp.q = sc.q),
+pr AS (SELECT least(q, l) AS x, greatest(q, l) AS y, sum(w) AS s, CASE WHEN count(*) > 1 THEN min(w) * max(w) ELSE 0 END AS m FROM st GROUP BY 1, 2)
+SELECT x AS a, y AS b, {r6('s - m', 'weight')} FROM pr UNION ALL SELECT y, x, {r6('s - m', 'weight')} FROM pr"""
+
+
 def density(eps: float, least: int, penalty: str = "1.0"):
     """Clusters of core spectra and their borders; ``penalty`` weighs the similarity of a and b (meta rows)."""
     return f"""WITH RECURSIVE {GRID}, {pair_cosine('d0', 'f')},
@@ -366,6 +383,8 @@ def all_sql() -> dict:
     sql["density_clusters"] = density(0.28, 3)
     sql["density_clusters_hard"] = density(0.73, 3, "CASE WHEN abs(a.ri - b.ri) > 40 THEN 0.0 ELSE 1.0 END")
     sql["density_clusters_soft"] = density(0.4, 4, "exp(-pow((a.ri - b.ri) / 60.0, 2))")
+    sql["neighbour_graph"] = fuzzy_graph(10)
+    sql["neighbour_graph_soft"] = fuzzy_graph(6, "exp(-pow((a.ri - b.ri) / 60.0, 2))")
     sql["smeared_bins"] = f"""WITH {GRID}, b AS (SELECT vec_id, least(greatest(floor(ln(mz / 35.0) / ln(1 + 2e-6) + 0.5) + 1, 1), {_n_bins() - 1}) AS b FROM f)
         SELECT vec_id AS id, count(*) * 21 AS n_bins, 1.0::DOUBLE AS total, CAST(min(b) - 10 AS BIGINT) AS first_bin, CAST(max(b) + 10 AS BIGINT) AS last_bin FROM b GROUP BY 1"""
     gates = [("after_precursor", "TRUE"), ("after_ion_mode", "a.mode = b.mode"), ("after_adduct", "a.adduct = b.adduct"), ("after_rt", "abs(a.rt - b.rt) <= 600"),

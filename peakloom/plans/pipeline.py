@@ -7,7 +7,7 @@ from dataclasses import dataclass, fields
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import clustering, deriv, explain, quant, search, similarity
+from ..operators import clustering, deriv, explain, layout, quant, search, similarity
 from ..operators.spectra import build_spectra, class_summary, class_summary_simple, functional_group_counts, spread
 from ..sources.msdial import FeatureTable, read_ms_dial
 
@@ -64,7 +64,7 @@ def run_similarity(spark: SparkSession, source, p, out_dir: str | None = None, *
         out["clusters"] = clustering.cluster_density(spectra, p)
         labelled = spectra.join(out["clusters"].select("pos", "cluster"), "pos").persist()
     if o.embed:
-        out["coordinates"] = clustering.landmark_coordinates(spectra, p)
+        out["coordinates"] = layout.embed(spectra, p)
     if o.cluster and o.explain:
         notes = explain.annotate_clusters(labelled, p)
         out["cluster_membership"], out["cluster_drivers"] = notes["membership"], notes["cluster_summary"]
