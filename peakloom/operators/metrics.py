@@ -267,6 +267,16 @@ def unordered_pairs(pairs_with_keys: DataFrame, transform: str = "linear", scale
         "positive", F.col("q_key") == F.col("l_key"))
 
 
+def keyed_sides(spectra: DataFrame, p, key: str, chars: int, fragment_only: bool):
+    """(scorer, symmetric, left, right) of the spectra whose key prefix is known, prefixes beside them."""
+    from ..functions.distances import is_symmetric
+
+    scorer = Scorer(p, fragment_only=fragment_only)
+    s = spectra.withColumn("_key", key_prefix(F.col(key), chars)).filter(F.col("_key").isNotNull())
+    extra = ["_key"] + scorer.extra()
+    return scorer, is_symmetric(scorer.method, p.ot_method or "exact"), *sides(s, s, scorer.channels(), extra, extra)
+
+
 def scored_pairs(spectra: DataFrame, p, key: str = "inchikey", chars: int = 14, fragment_only: bool = False,
                  cell: int = 512) -> DataFrame:
     """i < j pairs with both key prefixes known: q_pos, l_pos, distance, positive.
@@ -276,14 +286,10 @@ def scored_pairs(spectra: DataFrame, p, key: str = "inchikey", chars: int = 14,
     """
     import numpy as np
 
-    from ..functions.distances import is_symmetric
     from .blocks import to_table
     from .search import unordered_mask
 
-    scorer = Scorer(p, fragment_only=fragment_only)
-    s = spectra.withColumn("_key", key_prefix(F.col(key), chars)).filter(F.col("_key").isNotNull())
-    one_way = is_symmetric(scorer.method, p.ot_method or "exact")
-    q, lib = sides(s, s, scorer.channels(), ["_key"] + scorer.extra(), ["_key"] + scorer.extra())
+    scorer, one_way, q, lib = keyed_sides(spectra, p, key, chars, fragment_only)
     schema = "q_pos long, l_pos long, distance double, positive boolean"
 
     def reduce_cell(lt, rt):
@@ -329,6 +335,64 @@ def fdr_curve(scored: DataFrame, thresholds=FDR_THRESHOLDS, score: str = "simila
     rows = F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.col(f"_t{i}").alias("n_true_pos"),
                               F.col(f"_f{i}").alias("n_false_pos")) for i, t in enumerate(thresholds)])
     x = scored.agg(*aggs).select("_n", F.explode(rows).alias("r")).select("_n", "r.*")
+    return _fdr_rows(x)
+
+
+def fdr_of_spectra(spectra: DataFrame, p, thresholds=FDR_THRESHOLDS, key: str = "inchikey", chars: int = 14,
+                   fragment_only: bool = False, cell: int = 512) -> DataFrame:
+    """``fdr_curve`` of the ``minmax`` similarity of ``scored_pairs``, counted inside the cells.
+
+    Two passes: the range of all distances, then the counts at the thresholds.  No pair leaves its cell.
+    """
+    import numpy as np
+
+    from .blocks import equal_matrix, to_table
+    from .search import unordered_mask
+
+    scorer, one_way, q, lib = keyed_sides(spectra, p, key, chars, fragment_only)
+
+    def scored(lt, rt):
+        qp, lp = lt.column("q_pos").to_numpy(), rt.column("l_pos").to_numpy()
+        keep = unordered_mask(qp, lp) if one_way else qp[:, None] < lp[None, :]
+        same = equal_matrix(lt.column("q__key"), rt.column("l__key"))[0]
+        return scorer.distance(lt, rt, keep)[keep], same[keep]
+
+    def extent(lt, rt):
+        d = scored(lt, rt)[0]
+        d = d[np.isfinite(d)]
+        return to_table(ends, {"lo": [d.min(initial=np.inf)], "hi": [d.max(initial=-np.inf)]})
+
+    def widest(t):
+        return to_table(ends, {"lo": [t.column("lo").to_numpy().min()], "hi": [t.column("hi").to_numpy().max()]})
+
+    ends = "lo double, hi double"
+    r = block_apply(q, lib, extent, ends, cell, upper_only=one_way, merge=widest).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).first()
+    lo, hi = (float("inf"), float("-inf")) if r["lo"] is None else r
+    schema = "n long, i long, t long, f long"
+
+    def counts(lt, rt):
+        d, same = scored(lt, rt)
+        if lo > hi:
+            sim = np.full(len(d), -np.inf)  # no finite distance: no similarity passes a threshold
+        elif hi <= lo:
+            sim = np.full(len(d), 0.5)
+        else:
+            sim = 1 - (d - lo) / (hi - lo)
+            sim = np.where(np.isnan(sim), 1.0, np.clip(sim, 0.0, 1.0))
+        hits = [sim >= t for t in thresholds]
+        return to_table(schema, {"n": np.full(len(hits), len(d)), "i": np.arange(len(hits)),
+                                 "t": [int((h & same).sum()) for h in hits], "f": [int((h & ~same).sum()) for h in hits]})
+
+    found = block_apply(q, lib, counts, schema, cell, upper_only=one_way, merge=fold(["i"], n="sum", t="sum", f="sum"))
+    found = found.groupBy("i").agg(*[F.sum(c).alias(c) for c in ("n", "t", "f")])
+    # one row per threshold
+    grid = spectra.sparkSession.createDataFrame([(i, float(t)) for i, t in enumerate(thresholds)], "i long, threshold double")
+    zero = F.lit(0).cast("long")
+    return _fdr_rows(grid.join(found, "i", "left").select(
+        F.coalesce("n", zero).alias("_n"), "threshold", F.coalesce("t", zero).alias("n_true_pos"), F.coalesce("f", zero).alias("n_false_pos")))
+
+
+def _fdr_rows(x: DataFrame) -> DataFrame:
     n = F.col("n_true_pos") + F.col("n_false_pos")
     return x.select("threshold", n.alias("n_matches"), "n_true_pos", "n_false_pos",
                     F.when(F.col("_n") == 0, None).when(n > 0, F.col("n_false_pos") / n)
