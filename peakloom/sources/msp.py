@@ -25,6 +25,7 @@ NUMBER = r"[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
 PEAK_PAIR = re.compile(rf"\s*\(?\s*({NUMBER})(?:\s*:\s*|\s+)({NUMBER})")
 STARTS_NUMBER = re.compile(rf"\s*\(?\s*{NUMBER}")
 MISSING_MARK = re.compile(r"(?i)(?:^|[\s:;,()])(?:NA|N/A|NaN|NULL|\.)(?=$|[\s:;,()])")
+LETTER = re.compile("[A-Za-z]")
 SEPARATORS = " \t\r\n\f\v;,)"
 
 ISSUE = T.StructType([
@@ -62,9 +63,9 @@ def parse_peak_lines(lines):
 
 
 def looks_like_peaks(line: str) -> bool:
-    text = line.replace("(", "").replace(")", "")
-    if re.search("[A-Za-z]", text):
+    if LETTER.search(line):
         return False
+    text = line.replace("(", "").replace(")", "")
     tokens = re.split(r"[\s:,;]+", text.strip(" :,;\t"))
     try:
         return len(tokens) >= 2 and all(math.isfinite(float(t)) for t in tokens)
@@ -162,7 +163,9 @@ class Scanner:
         if not line.strip():
             self.declared = False
             return self.flush()
-        if NUM_PEAKS_LINE.match(line):
+        if ":" not in line:  # most lines, and no marker of any kind
+            pass
+        elif NUM_PEAKS_LINE.match(line):
             self.declared = True
         elif self.declared and (m := EMBEDDED_NAME.search(line)):
             self.declared = False
@@ -174,8 +177,7 @@ class Scanner:
         return self._add(line)
 
     def _add(self, line):
-        key = line.partition(":")[0].strip().lower() if ":" in line else None
-        col = FIELD_OF.get(key)
+        col = FIELD_OF.get(line.partition(":")[0].strip().lower()) if ":" in line else None
         done = self.flush() if col == "name" and self.peaks else []
         self.lines.append(line)
         if col == "name" and not self.peaks:
@@ -236,39 +238,39 @@ def _close(state):
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Records of (value, file, block) lines; ``pos`` follows file and record order.
 
-    Whole records are parsed where their split is read, without a shuffle.  Only the
-    two broken records per split edge are gathered, in a second pass over the text.
+    One pass over the text parses whole records where their split is read and keeps the pieces cut by split edges
+    beside them; only these are gathered, one pair per split.
     """
     names = [f.name for f in RECORD_SCHEMA.fields]
     schema = T.StructType([T.StructField("file", T.StringType())] + RECORD_SCHEMA.fields)
+    piece = T.StructType([T.StructField("block", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("idx", T.LongType()),
+                          T.StructField("lines", T.ArrayType(T.StringType()))] + schema.fields)
 
     def rows_of(frames):
         for pdf in frames:
             yield from zip(pdf["value"], pdf["file"], pdf["block"])
 
-    def typed(records):
-        out = pd.DataFrame(records, columns=["file"] + names, dtype=object)
-        for c, kind in (("pos", "int64"), ("num_peaks", "Int32"), ("mw", float), ("ri", float), ("rt", float)):
+    def typed(records, fields=schema):
+        out = pd.DataFrame(records, columns=fields.names, dtype=object)
+        for c, kind in (("pos", "Int64" if fields is piece else "int64"), ("num_peaks", "Int32"), ("mw", float), ("ri", float), ("rt", float)):
             out[c] = out[c].astype(kind)
         return out
 
-    def whole(frames):
+    def pieces(frames):
         buffer = []
         for file, block, kind, index, text in split_pieces(rows_of(frames)):
             if kind == "rec":
-                buffer.append({**parse_record(text), "pos": block + index, "file": file})
-                if len(buffer) >= 2000:
-                    yield typed(buffer)
-                    buffer = []
-        yield typed(buffer)
-
-    def edges(frames):
-        for file, block, kind, index, text in split_pieces(rows_of(frames)):
-            if kind != "rec":
-                yield pd.DataFrame([(file, int(block), kind, index, text)], columns=["file", "block", "kind", "idx", "lines"])
-
-    src = lines.select("value", "file", "block")
-    cut = src.mapInPandas(edges, "file string, block long, kind string, idx long, lines array<string>")
+                buffer.append({**parse_record(text), "pos": block + index, "file": file, "kind": kind, "lines": None})
+            else:
+                buffer.append({"file": file, "block": int(block), "kind": kind, "idx": index, "lines": text, "record_issues": None})
+            if len(buffer) >= 2000:
+                yield typed(buffer, piece)
+                buffer = []
+        yield typed(buffer, piece)
+
+    # read three times below: whole records, cut pieces, names of files (each split leaves a piece)
+    parsed = lines.select("value", "file", "block").mapInPandas(pieces, piece).persist()
+    cut = parsed.filter("kind <> 'rec'").select("file", "block", "kind", "idx", "lines")
     # a tail opens a group that runs to the next tail: two rows per split are ordered here
     w = Window.partitionBy("file").orderBy("block", "kind")
     group = F.sum((F.col("kind") == "tail").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))
@@ -290,8 +292,8 @@ def parse_lines(lines: DataFrame) -> DataFrame:
                 out += [{**parse_record(done), "pos": start, "file": file} for done in scanner.flush()]
             yield typed(out)
 
-    both = src.mapInPandas(whole, schema).unionByName(cut.mapInPandas(stitch, schema))
-    files = lines.select("file").distinct().withColumn(
+    both = parsed.filter("kind = 'rec'").select(*schema.names).unionByName(cut.mapInPandas(stitch, schema))
+    files = parsed.filter("kind <> 'rec'").select("file").distinct().withColumn(
         "_f", F.row_number().over(Window.orderBy("file")) - 1)  # one row per file
     return both.join(files, "file").withColumn(
         "pos", F.shiftleft(F.col("_f").cast("long"), 44) + F.col("pos")).select(*names)
