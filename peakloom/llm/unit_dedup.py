@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import cut, free_names, hot_join, slices
+from .common import cut, free_names, hot_join, slices, stored
 
 CUTS = {"line": r"(?<=\n)", "paragraph": r"(?<=\n\n)", "sentence": r"(?<=\n)|(?<=[.!?] )"}
 
@@ -100,6 +100,14 @@ def units(docs: DataFrame, unit: str, min_words: int, whole: bool = False) -> Da
     return docs.select("id", "h", "text").mapInArrow(run, "id long, h long, start int, end int, d1 long, d2 long")
 
 
+def again(all_units: DataFrame) -> DataFrame:
+    """The units whose first half of a digest is found more than once, stored; of all others only that half travels to be counted."""
+    often = cut(all_units.groupBy("d1").agg(F.count("*").alias("n")).where("n > 1"))
+    total = often.agg(F.sum("n")).first()[0] or 0
+    marked = hot_join(all_units, often.withColumn("often", F.lit(True)), ["d1"], "n", total)
+    return stored(marked.where("often").drop("often"))
+
+
 def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", unit: str = "sentence", min_words: int = 8,
             whole: bool = False) -> DataFrame:
     """id, h (text hash), removed: array<struct<start, end, kept_in>>, of every document that loses a unit.
@@ -107,11 +115,11 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     With ``whole``, the spans of a document may lie over each other.
     """
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    all_units = units(keyed, unit, min_words, whole)
+    found_again = again(units(keyed, unit, min_words, whole))
     place = F.struct("id", "h", "start", "end")
-    shared = cut(all_units.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"))
+    shared = cut(found_again.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"))
     total = shared.agg(F.sum("n")).first()[0] or 0
-    found = hot_join(all_units, shared, ["d1", "d2"], "n", total).where(F.col("first").isNotNull())
+    found = hot_join(found_again, shared, ["d1", "d2"], "n", total).where(F.col("first").isNotNull())
     # runs of one text may lie over each other: what overlaps its own first place is no copy of it
     same_text = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("h") == F.col("first.h"))
     gone = found.where(~same_text | (F.col("start") >= F.col("first.end")))
