@@ -5,7 +5,9 @@ A document's set is its distinct shingles. Two documents link when their Jaccard
 
 1. sets: every text gives its set size and a 128-bit digest; documents of equal sets are one class,
    and the class is what is compared. The same pass adds up bounded sketches of how many documents
-   hold a shingle, so that global orders can put rare shingles first.
+   hold a shingle, so that global orders can put rare shingles first. A counter stands for many shingles
+   of a large corpus; so a second pass counts, shingle by shingle, those in the first half of each text under
+   the order so far, and the first order puts the frequent ones among them last.
 2. prefixes: a linked pair shares a shingle among the first n - ceil(t n) + 1 of both sets, under any
    global order. Under the first order the prefixes are dealt out by shingle and classes that share one,
    with sizes within the bound, become candidates. A shingle of many classes gives a star around its
@@ -19,7 +21,8 @@ A document's set is its distinct shingles. Two documents link when their Jaccard
    sketches, which tell the classes that may have a partner outside their component, then the sets of
    these classes. A cell emits such classes, or links that join components, never its pairs.
 
-Sets are made anew from the text where they are needed, so none are kept on disk.
+Sets are made anew from the text where they are needed, so none are kept on disk; a bounded bitmap of text
+hashes tells which texts that are.
 
 Defined results: a null text, or one without words, has an empty set and links with nothing; fewer
 words than the width are one shingle; repeated rows are one class; a null id keeps a component only
@@ -69,19 +72,21 @@ def _slot(own: np.ndarray, order: int) -> np.ndarray:
     return ((own >> np.uint64(1 + 20 * (order % 2))) & np.uint64(SKETCH - 1)).astype(np.int64)
 
 
-def keys(own: np.ndarray, levels: np.ndarray, order: int) -> np.ndarray:
-    """Place of each shingle in a global order: rare levels first, then by a hash of that order."""
+def keys(own: np.ndarray, levels: np.ndarray, order: int, last: np.ndarray | None = None) -> np.ndarray:
+    """Place of each shingle in a global order: rare levels first, then by a hash of that order; those marked in ``last`` after all others."""
     tie = own if order == 0 else mixed(own + np.uint64(0x9E3779B97F4A7C15 * order & (1 << 64) - 1))
     level = levels[order % 2][_slot(own, order)].astype(np.uint64)
+    if last is not None:
+        level = np.minimum(level, np.uint64(127)) | last.astype(np.uint64) << np.uint64(7)
     return (level << np.uint64(56)) | (tie >> np.uint64(8))
 
 
-def prefix(own: np.ndarray, levels: np.ndarray, order: int, num: int, den: int) -> np.ndarray:
-    """The shingles before the bound of the prefix filter."""
-    size = len(own) - -(-len(own) * num // den) + 1
+def prefix(own: np.ndarray, levels: np.ndarray, order: int, num: int, den: int, last: np.ndarray | None = None, times: int = 1) -> np.ndarray:
+    """The shingles before the bound of the prefix filter, or before ``times`` that bound."""
+    size = times * (len(own) - -(-len(own) * num // den) + 1)
     if size >= len(own):
         return own
-    return own[np.argpartition(keys(own, levels, order), size - 1)[:size]]
+    return own[np.argpartition(keys(own, levels, order, last), size - 1)[:size]]
 
 
 def _summed(chunks: DataFrame, finish) -> DataFrame:
@@ -120,11 +125,11 @@ def folded(data: np.ndarray, size: int) -> np.ndarray:
 
 
 def classes(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n, c, c2, sketch) of every row, and the level of each sketch counter for two orders."""
+    """(doc_id, h, n, c, c2, sketch) of every row, h a hash of its text, and the level of each sketch counter for two orders."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros((2, SKETCH), np.uint32)
-        names = ["doc_id", "n", "c", "c2", "sketch", "chunk", "counts"]
+        names = ["doc_id", "h", "n", "c", "c2", "sketch", "chunk", "counts"]
         for b in slices(batches, "text"):
             n, one, two, odd, seen = [], [], [], [], []
             for _, own in sets_of(b, width):
@@ -139,19 +144,19 @@ def classes(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
                 counters[order] += np.bincount(_slot(every, order), minlength=SKETCH).astype(np.uint32)
             none = [None] * b.num_rows
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(odd, pa.binary()),
+                [b.column("doc_id"), b.column("h"), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(odd, pa.binary()),
                  pa.array(none, pa.int32()), pa.array(none, pa.binary())], names)
         parts = counters.reshape(-1, CHUNK)
         used = [int(i) for i in np.flatnonzero(parts.any(1))]
         none = pa.array([None] * len(used), pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [none, none, none, none, pa.array([None] * len(used), pa.binary()), pa.array(used, pa.int32()), pa.array([zlib.compress(parts[i].astype("<u4").tobytes(), 1) for i in used], pa.binary())], names)
+            [none, none, none, none, none, pa.array([None] * len(used), pa.binary()), pa.array(used, pa.int32()), pa.array([zlib.compress(parts[i].astype("<u4").tobytes(), 1) for i in used], pa.binary())], names)
 
-    both = stored(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, c long, c2 long, sketch binary, chunk int, counts binary"))
+    both = stored(docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, "doc_id long, h long, n long, c long, c2 long, sketch binary, chunk int, counts binary"))
     levels = np.zeros((2, SKETCH), np.uint8)
     for r in _summed(both.where("chunk is not null").select("chunk", "counts"), _level).collect():  # 2 * SKETCH bytes
         levels.reshape(-1, CHUNK)[r["chunk"]] = np.frombuffer(r["counts"], np.uint8)
-    return both.where("chunk is null").select("doc_id", "n", "c", "c2", "sketch"), levels
+    return both.where("chunk is null").select("doc_id", "h", "n", "c", "c2", "sketch"), levels
 
 
 def _size_step(n: int, num: int, den: int) -> int:
@@ -159,25 +164,75 @@ def _size_step(n: int, num: int, den: int) -> int:
     return min(255, int(4 * math.log(n) / math.log(den / num))) if n else 0
 
 
-def entries(docs: DataFrame, levels, width: int, num: int, den: int, buckets: int) -> DataFrame:
-    """bucket, packed: the prefix shingles of all classes under the first order, dealt out by shingle."""
+def _dealt(names: np.ndarray, packed: np.ndarray) -> pa.RecordBatch:
+    """bucket, packed: the items of ``packed`` together by the bucket of their names."""
+    bucket = names >> np.uint64(32)
+    order = np.argsort(bucket, kind="stable")
+    bucket, packed = bucket[order], packed[order]
+    own, starts = np.unique(bucket, return_index=True)
+    ends = np.append(starts[1:], len(bucket))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(own.astype(np.int64)), pa.array([packed[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary())], ["bucket", "packed"])
+
+
+def _names(own: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each shingle in the upper half, its name there in the lower."""
+    h = mixed(own)
+    return ((h >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32) | h & np.uint64(0xFFFFFFFF)
+
+
+def frequent(docs: DataFrame, levels, width: int, num: int, den: int, buckets: int, few: int) -> np.ndarray:
+    """A bounded bitmap of the names of shingles that more than ``few`` texts hold before twice the bound of the prefix filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = levels.value, set()
         held: list[np.ndarray] = []
         size = 0
 
+        def flush() -> pa.RecordBatch:
+            every = np.sort(np.concatenate(held))
+            return _dealt(every, every.astype("<u4"))
+
+        for whole in batches:
+            own = whole.column("h").to_numpy().tolist()
+            new = []
+            for h in own:  # copies within the task: once is enough
+                new.append(h not in seen)
+                if len(seen) < 200_000:
+                    seen.add(h)
+            for b in slices([whole.filter(pa.array(new, pa.bool_()))], "text"):
+                for _, own in sets_of(b, width):
+                    if len(own):
+                        held.append(_names(prefix(own, table, 0, num, den, times=2), buckets))
+                        size += len(held[-1])
+                        if size > 2_000_000:
+                            yield flush()
+                            held, size = [], 0
+        if held:
+            yield flush()
+
+    def count(parts: list[bytes], bucket: int) -> pa.RecordBatch:
+        names, n = np.unique(np.concatenate([np.frombuffer(p, "<u4") for p in parts]), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(names[n > few].astype(np.int64) + (bucket << 32))], ["x"])
+
+    dealt = docs.select(F.xxhash64("text").alias("h"), "text").mapInArrow(run, "bucket long, packed binary")
+    found = stored(_by_bucket(dealt, count, "x long"))
+    return _bitmap(found, "x", _bits(found.count()))
+
+
+def entries(docs: DataFrame, levels, last, width: int, num: int, den: int, buckets: int) -> DataFrame:
+    """bucket, packed: the prefix shingles of all classes under the first order, dealt out by shingle; ``last``: the map of ``frequent``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, bits, seen = levels.value, last.value, set()
+        held: list[np.ndarray] = []
+        size = 0
+
         def flush() -> pa.RecordBatch:
             every = np.concatenate(held)
-            bucket = (every["h"] >> np.uint64(32)) % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            bucket = bucket[order]
             packed = np.empty(len(every), _ENTRY)
-            packed["t"], packed["c"], packed["s"] = every["h"][order].astype(np.uint32), every["c"][order], every["s"][order]
-            names, starts = np.unique(bucket, return_index=True)
-            ends = np.append(starts[1:], len(bucket))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(names.astype(np.int64)), pa.array([packed[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary())], ["bucket", "packed"])
+            packed["t"], packed["c"], packed["s"] = every["h"].astype(np.uint32), every["c"], every["s"]
+            return _dealt(every["h"], packed)
 
         for b in slices(batches, "text"):
             for _, own in sets_of(b, width):
@@ -188,9 +243,9 @@ def entries(docs: DataFrame, levels, width: int, num: int, den: int, buckets: in
                     continue
                 if len(seen) < 200_000:
                     seen.add(c)
-                chosen = prefix(own, table, 0, num, den)
+                chosen = prefix(own, table, 0, num, den, _held(bits, _names(own, buckets)))
                 part = np.empty(len(chosen), [("h", "<u8"), ("c", "<i8"), ("s", "u1")])
-                part["h"], part["c"], part["s"] = mixed(chosen), c, _size_step(len(own), num, den)
+                part["h"], part["c"], part["s"] = _names(chosen, buckets), c, _size_step(len(own), num, den)
                 held.append(part)
                 size += len(part)
                 if size > 2_000_000:
@@ -245,6 +300,12 @@ def candidates(dealt: DataFrame, few: int, step: int = 4) -> DataFrame:
         both = np.concatenate((pairs, often, stars))
         return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["kind", "a", "b"])
 
+    return _by_bucket(dealt, meet, "kind byte, a long, b long")
+
+
+def _by_bucket(dealt: DataFrame, meet, schema: str) -> DataFrame:
+    """``meet(parts, bucket)`` of what each bucket of ``dealt`` (bucket, packed) holds."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, parts = None, []
         for whole in batches:
@@ -260,7 +321,18 @@ def candidates(dealt: DataFrame, few: int, step: int = 4) -> DataFrame:
             yield meet(parts, current)
 
     width = shuffle_width(dealt.sparkSession)
-    return dealt.repartition(4 * width, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "kind byte, a long, b long")
+    return dealt.repartition(4 * width, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+
+
+def _bits(n: int) -> int:
+    """Bits of a map of n values: 16 or more a value, 1 to 8 MB."""
+    return 1 << min(26, max(23, (16 * n).bit_length()))
+
+
+def _held(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values a map of ``_bitmap`` holds."""
+    at = (mixed(values.astype(np.uint64)) & np.uint64(8 * len(bits) - 1)).astype(np.int64)
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
 
 
 def _bitmap(rows: DataFrame, column: str, bits: int = 1 << 23) -> np.ndarray:
@@ -294,8 +366,7 @@ def sketches_for(rows: DataFrame, names: DataFrame) -> DataFrame:
         seen: set[int] = set()
         for b in batches:
             own = b.column("c").to_numpy()
-            at = (mixed(own.astype(np.uint64)) & np.uint64(8 * len(bits) - 1)).astype(np.int64)
-            keep = (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+            keep = _held(bits, own)
             for i in np.flatnonzero(keep):
                 keep[i] = int(own[i]) not in seen
                 if len(seen) < 200_000:
@@ -328,28 +399,31 @@ def near_pairs(rows: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFra
     return both.select("a", "b", "n", "m", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def sets_for(docs: DataFrame, names: DataFrame, width: int) -> DataFrame:
+def sets_for(docs: DataFrame, rows: DataFrame, names: DataFrame, width: int) -> DataFrame:
     """c, own: the sets of the classes in column c of ``names`` (and of a few more), each once, dealt out by class."""
     spark = docs.sparkSession
-    wanted = spark.sparkContext.broadcast(_bitmap(names, "c"))
+    # one text stands for a class; only texts whose hash is wanted are cut into shingles
+    firsts = stored(rows.where("n > 0").groupBy("c").agg(F.min("h").alias("h")).join(names.select("c").distinct(), "c", "left_semi"))
+    wanted = spark.sparkContext.broadcast(_bitmap(firsts, "h", _bits(firsts.count())))
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = wanted.value
         seen: set[int] = set()
-        for b in slices(batches, "text"):
-            names, found = [], []
-            for _, own in sets_of(b, width):
-                if len(own):
-                    c = digest(own)[0]
-                    at = int(mixed(np.array([c], np.int64).astype(np.uint64))[0]) & (8 * len(bits) - 1)
-                    if bits[at >> 3] >> (7 - (at & 7)) & 1 and c not in seen:
-                        if len(seen) < 200_000:
-                            seen.add(c)
-                        names.append(c)
-                        found.append(own.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(found, pa.binary())], ["c", "own"])
-
-    return docs.select("text").mapInArrow(load, "c long, own binary").repartition(shuffle_width(spark), "c").dropDuplicates(["c"])
+        for whole in batches:
+            for b in slices([whole.filter(pa.array(_held(bits, whole.column("h").to_numpy())))], "text"):
+                names, found = [], []
+                for _, own in sets_of(b, width):
+                    if len(own):
+                        c = digest(own)[0]
+                        if c not in seen:
+                            if len(seen) < 200_000:
+                                seen.add(c)
+                            names.append(c)
+                            found.append(own.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(found, pa.binary())], ["c", "own"])
+
+    return docs.select(F.xxhash64("text").alias("h"), "text").mapInArrow(load, "c long, own binary") \
+        .repartition(shuffle_width(spark), "c").dropDuplicates(["c"])
 
 
 def _similar(left: np.ndarray, right: np.ndarray, num: int, den: int) -> bool:
@@ -357,10 +431,10 @@ def _similar(left: np.ndarray, right: np.ndarray, num: int, den: int) -> bool:
     return den * common >= num * (len(left) + len(right) - common)
 
 
-def verified(docs: DataFrame, pairs: DataFrame, levels, width: int, num: int, den: int) -> DataFrame:
+def verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, levels, width: int, num: int, den: int) -> DataFrame:
     """The pairs a, b of classes that pass the further orders and then the exact similarity."""
     # one copy of a class is enough, and all are equal; one shuffle by class serves both joins
-    sets = sets_for(docs, pairs.select(F.explode(F.array("a", "b")).alias("c")), width)
+    sets = sets_for(docs, rows, pairs.select(F.explode(F.array("a", "b")).alias("c")), width)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = levels.value
@@ -502,7 +576,7 @@ def meetings(docs: DataFrame, rows: DataFrame, members: DataFrame, levels, width
         ends = np.array(links, np.int64).reshape(-1, 2)
         return pa.table({"a": names[ends[:, 0]], "b": names[ends[:, 1]]})
 
-    sets = sets_for(docs, dealt.select("c"), width)
+    sets = sets_for(docs, rows, dealt.select("c"), width)
     return _placed(dealt, block).join(sets, "c").groupBy("team", "i", "j").applyInArrow(meet, "a long, b long")
 
 
@@ -526,19 +600,21 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wid
     levels = spark.sparkContext.broadcast(counts)
     total = rows.agg(F.sum("n"), F.count("*")).first()
     buckets = max(4 * shuffle_width(spark), (total[0] or 0) // 1_000_000)
-    found = stored(candidates(entries(texts, levels, width, num, den, buckets), few))
+    last = spark.sparkContext.broadcast(frequent(texts, levels, width, num, den, buckets, FEW))
+    found = stored(candidates(entries(texts, levels, last, width, num, den, buckets), few))
     # of its star pairs a class keeps the two of lowest hubs, by two orders; the rounds below miss none of the others
     stars = found.where("kind = 2").groupBy("b").agg(F.min("a").alias("a1"), F.min_by("a", F.xxhash64("a")).alias("a2")) \
         .select("b", F.explode(F.array_distinct(F.array("a1", "a2"))).alias("a"))
     pairs = stored(found.where("kind = 0").select("a", "b").unionByName(stars).distinct())
     pairs = _checked(near_pairs(rows, pairs, num, den))
-    edges = _checked(verified(texts, pairs, levels, width, num, den))
+    edges = _checked(verified(texts, rows, pairs, levels, width, num, den))
     groups = stored(components(edges))
-    frequent = found.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("c"))
+    often = found.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("c"))
     # frequent shingles whose classes aren't in one component yet
-    held = frequent.join(groups.select(F.col("node").alias("c"), "component"), "c", "left") \
-        .select("token", "c", F.coalesce("component", "c").alias("g"))
-    open_ = stored(held.join(held.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("token"), "token"))
+    held = stored(often.join(groups.select(F.col("node").alias("c"), "component"), "c", "left") \
+        .select("token", "c", F.coalesce("component", "c").alias("g")))
+    split = stored(held.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count("*").alias("n_classes")).where("lo <> hi").select("token", "n_classes", "lo"))
+    open_ = stored(hot_join(held, split, ["token"], "n_classes", held.count()).where("lo is not null"))
     if not open_.isEmpty():
         edges = edges.unionByName(_checked(meetings(texts, rows, open_.select("token", "c", "g"), levels, width, num, den)))
         groups = stored(components(edges))
