@@ -50,3 +50,20 @@ def test_keep_best_ties_and_missing_positions():
                                            "library_id": ["x", "y", "z", "w"], "l_pos": [5, 3, 1, 9], "distance": [0.5, 0.5, 0.1, 0.2]})
     got = blocks.keep_best(2)(t).to_pylist()
     assert sorted((r["query_id"], r["library_id"]) for r in got) == [("a", "w"), ("a", "y"), ("b", "z")]
+
+
+def test_one_cell_for_every_core_is_enough():
+    """Rows travel nl + nr times in a search of a table in itself: 7 times on 12 cores."""
+    for cores, copies in ((6, 5), (8, 6), (12, 7)):
+        nl, nr = blocks._block_counts(100_000, 100_000, cores, blocks.CELL)
+        assert nl + nr == copies and nl * nr == cores
+    for cores in (1, 2, 5, 7, 13, 36, 61):
+        nl, nr = blocks._block_counts(100_000, 100_000, cores, blocks.CELL)
+        n = nl * nr
+        assert n >= cores and n >= 0.8 * cores * -(-n // cores) and nl * 65_536 >= 100_000 <= nr * 65_536
+    nl, nr = blocks._block_counts(1_000, 60_000, 12, blocks.CELL)
+    assert (nl, nr) == (1, 12)
+    assert blocks._block_counts(1_000_000, 1_000_000, 12, blocks.CELL) == (16, 16)
+    assert blocks._block_counts(3, 3, 12, blocks.CELL) == (1, 1) == blocks._block_counts(0, 0, 12, blocks.CELL)
+    for n, cores, side in ((100_000, 12, 5), (100_000, 8, 4), (100_000, 1, 2), (20, 12, 1), (0, 4, 1)):
+        assert blocks._block_counts(n, n, cores, blocks.CELL, upper_only=True) == (side, side)
