@@ -92,10 +92,7 @@ def neighbour_graph(spectra: DataFrame, p, n_neighbors: int | None = None, fragm
     k = check_neighbors(spectra.count(), n_neighbors)
     x = with_ri(spectra, p)
 
-    def others(lt, rt):
-        return lt.column("q_pos").to_numpy()[:, None] != rt.column("l_pos").to_numpy()[None, :]
-
-    hits = nearest(x, x, ClusterScorer(p, fragment_only), k - 1, gate=others)
+    hits = nearest(x, x, ClusterScorer(p, fragment_only), k - 1, exclude_self="pos")
     rows = hits.groupBy("q_pos").agg(F.collect_list(F.struct("distance", "l_pos")).alias("near"))  # k - 1 at most
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
