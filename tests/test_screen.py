@@ -95,3 +95,22 @@ def test_near_mz_are_left_to_the_alignment():
     moved = pa.array([[{"mz": x["mz"] * (1 + 5e-6), "intensity": x["intensity"]} for x in r] for r in right[0].column("frag").to_pylist()], PEAKS)
     right[0] = right[0].set_column(right[0].column_names.index("frag"), "frag", moved)
     assert Scorer(Params(distance_method="cosine"), fragment_only=True).open(left, right) is None
+
+
+@pytest.mark.parametrize("method", ["cosine", "weighted_cosine", "hellinger"])
+def test_bin_products_as_columns(method):
+    from peakloom.functions.ragged import Batch
+    from peakloom.operators.sparse import BinGrid, BinScorer, bin_matrix
+
+    left, right = tiles(128)
+    p = Params(distance_method=method)
+    g = BinGrid.from_params(p)
+    want = np.round(bin_matrix(Batch.from_arrow(left[0].column("frag")), Batch.from_arrow(right[1].column("frag")), g, method, p), 13)
+    s = opened(BinScorer(["frag"], g, method, p), left, right)
+    rows, cols = np.nonzero(np.ones_like(want))
+    assert (s.lower(0, 1) <= want + 1e-12).all()
+    atol = 2e-7 if method == "hellinger" else 2e-13  # root of a rounding error where spectra are equal
+    assert np.allclose(s.exact(0, 1, rows, cols).reshape(want.shape), want, rtol=0, atol=atol)
+    assert np.allclose(s.dense(0, 1), want, rtol=0, atol=atol)
+    near = BinScorer(["frag"], BinGrid(35.0, 650.0, 2000.0, 40000.0), method, p)
+    assert near.open(left, right) is None
