@@ -84,3 +84,14 @@ def test_equal_distances_go_by_position():
     assert rank.tolist() == [1, 2, 4] and n.tolist() == [5]
     wide = np.tile(d + 5, (1, 1))  # beyond what one integer holds
     assert in_order(wide, rel, use)[1].tolist() == [1, 2, 4]
+
+
+def test_ablation_in_one_pass_equals_setting_by_setting(spark):
+    s = spectra(spark, 40)
+    for c in ("loss", "loss_anchor", "loss_pair"):
+        s = s.withColumn(c, F.reverse(F.transform("frag", lambda x: F.struct((700 - x["mz"]).alias("mz"), x["intensity"].alias("intensity")))))
+    p = Params(distance_method="cosine")
+    settings = [p.with_(use_split_loss=split, w_frag=wf, w_loss=wl, loss_anchor_weight=0.5 if a is None else a) for _, split, wf, wl, a in B.ABLATION[:5:2]]
+    got = {(r["no"], r["q_pos"]): r["best_rank"] for r in M.replicate_ranks_of(s, settings).collect()}
+    want = {(i, r["q_pos"]): r["best_rank"] for i, x in enumerate(settings) for r in M.replicate_ranks(s, x).collect()}
+    assert got == want and len(got) > 60
